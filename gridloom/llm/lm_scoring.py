@@ -144,6 +144,7 @@ def _tables(shared) -> tuple:
         at = levels[-1][2].find(top[0] >> np.uint64(8))
         sure = np.log10(top[1]) - np.log10((top[3] + top[4])[at]) if len(at) else np.zeros(0)
         _loaded[key] = (levels, sure, HashTable(v["words"]), v["counts"])
+        v["levels"] = v["words"] = None  # the tables hold copies
     return _loaded[key]
 
 
@@ -232,7 +233,10 @@ def _arrays(spark: SparkSession, model: Model, shard: int, shards: int, frequent
     if shards > 1:
         trie, contexts = trie.filter(mine(F.shiftright("gram", 8))), contexts.filter(mine(F.col("context")))
     g, c = trie.toArrow(), contexts.toArrow()
-    column = lambda t, name, of=np.float64: t.column(name).to_numpy().astype(of)
+    def column(table: pa.Table, name: str, of: type | None = None) -> np.ndarray:
+        values = table.column(name).to_numpy()
+        return values.astype(of or (np.int32 if values.max(initial=0) < 1 << 31 else np.int64))
+
     gk, ck = column(g, "k", np.int32), column(c, "k", np.int32)
     levels = []
     for k in range(model.order + 1):

@@ -92,7 +92,7 @@ class HashTable:
     EMPTY = np.uint64((1 << 64) - 1)
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.4))))
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, self.EMPTY, dtype=np.uint64)
         self.rows = np.zeros(1 << bits, dtype=np.int32)
