@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` rows at most; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
