@@ -161,23 +161,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return train(sizes, flat[0], flat[1], flat[2].reshape(-1, STATS), t.column("label").to_numpy())
 
 
-def _score(shared, names: list[str]):
+def _score(shared, names: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = shared.value
         for batch in batches:
             score = np.zeros(len(batch))
             for lo, hi, at, index, value, stats in features(batch.column(len(names)), batch.column(len(names) + 1)):
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(m.margin(*m.rows(at, index, value, stats))[0], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score)], [*names, name])
 
     return run
 
 
-def score(machine: Machine, docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every row of ``docs``."""
+def score(machine: Machine, docs: DataFrame, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """``keep`` columns and the score (0 to 1), as ``name``, of every row of ``docs``."""
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"), _meta(docs))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-2]) + "score double"
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(machine), list(keep)), schema)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-2]) + f"`{name}` double"
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(machine), list(keep), name), schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,18 +96,34 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return plan
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` of every row; ``taken`` is ``size`` times its copies."""
-    sized = docs.select(F.col(id_col), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col)).alias("hash"))
-    sized = materialize(sized, "mix-sizes")
+def _sized(docs: DataFrame, id_col: str, source: str, text: str) -> dict:
+    return {"__source": F.col(source), "size": n_words(F.col(text)), "hash": F.xxhash64(F.lit("mix"), F.col(id_col))}
+
+
+def plan_for(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``(source, source_size, weight, target, copies, left, under)`` of every source."""
+    made = _sized(docs, id_col, source, text)
+    sized = materialize(docs.select(made["__source"].alias("source"), made["size"].alias("size"), made["hash"].alias("hash")), "mix-sizes")
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = thresholds(sized, materialize(targets(sizes, weights, share, cap), "mix-targets"))
-    plan = plan.withColumnRenamed("source", "s")
+    return thresholds(sized, materialize(targets(sizes, weights, share, cap), "mix-targets"))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """All rows of ``docs`` with ``mix``: a struct of size, source_size, target and copies."""
+    made = _sized(docs, id_col, source, text)
+    plan = plan.select(F.struct(*plan.columns).alias("plan"))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    once_more = F.shiftrightunsigned("hash", 64 - LEVELS * LEVEL_BITS) < F.col("under")
-    taken = F.col("size") * (F.col("copies") + F.when(once_more, 1).otherwise(0))
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").select(id_col, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    once_more = F.shiftrightunsigned(made["hash"], 64 - LEVELS * LEVEL_BITS) < F.col("plan.under")
+    copies = F.col("plan.copies") + F.when(once_more, 1).otherwise(0)
+    joined = docs.join(plan, made["__source"].eqNullSafe(F.col("plan.source")), "left")
+    return joined.select(docs["*"], F.struct(made["size"].alias("size"), "plan.source_size", "plan.target", copies.alias("copies")).alias("mix"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """``(id, size, source_size, target, taken)`` of every row; ``taken`` is ``size`` times its copies."""
+    placed = with_copies(docs.select(id_col, source, text), plan_for(docs, id_col, source, text, **options), id_col, source, text)
+    return placed.select(id_col, "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
