@@ -1 +1,11 @@
-"""Part of gridloom: plans."""
+"""Registered queries: operators of the library applied to the tables at hand."""
+
+from importlib import import_module
+
+MODULES = ("scoring",)
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    for name in MODULES:
+        import_module(f"gridloom.plans.{name}")
