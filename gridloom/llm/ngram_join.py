@@ -5,11 +5,13 @@ token among the first ``n - ceil(n * percent / 100) + 1`` of each, under any ord
 tokens, so several orders filter one after the other and a pair must pass all of them
 before its sets are compared:
 
-* Order ``i`` hashes the tokens anew. Those in the lowest part of the hashes come first,
-  the rarest of them in front (tokens of one document alone link nothing and use up the
-  prefix), and all others after them by hash. Only tokens of the prefix region are moved.
+* Every order hashes the tokens anew and puts the rarest in front: tokens of one document
+  alone link nothing and use up the prefix. The first order ranks only the lowest part of
+  the hashes by rarity (all others follow by hash), so only tokens of that region are moved.
+  The next orders rank all tokens, by how many of the documents left have them.
 * A document without a shared prefix token leaves. Under the first order that holds for
-  most, so the other orders and the full sets are made for the remaining ones only.
+  most, so the other orders and the full sets are made for the remaining ones only. A pair
+  shares at most what both have besides tokens of their own, which bounds it again.
 * Equal sets are one node. In each token's list all nodes are compared with its smallest
   node (its centre) and not with each other, which is linear. Where a list then still
   holds several components, its nodes are compared with the centres of the others; and
@@ -40,8 +42,8 @@ BROADCAST_IDS = 500_000
 
 
 def region(percent: int) -> float:
-    """The part of all hashes that an order puts first: twice what a prefix needs."""
-    return min(1.0, 2 * (1 - percent / 100))
+    """The part of all hashes that the first order puts first: half as much again as a prefix needs."""
+    return min(1.0, 1.5 * (1 - percent / 100))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -86,19 +88,21 @@ def _sets(width: int, percent: int, full: bool):
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """``(doc, n, token)`` of prefix tokens that two documents or more have in theirs.
+    """``(doc, n, free, token)`` of prefix tokens that two documents or more have in theirs.
 
     ``rows``: (doc, n, u, tokens) with the tokens of the prefix region in hash order, the
-    first ``u`` of them in the part that goes by rarity.
+    first ``u`` of them in the part that goes by rarity. ``free`` is ``n`` less the tokens
+    that no other document has, as far as they were counted.
     """
-    posts = rows.select("doc", "n", "u", F.posexplode("tokens").alias("pos", "token")).withColumn("low", F.col("pos") < F.col("u"))
+    posts = rows.select("doc", F.posexplode("tokens").alias("pos", "token"), "u").select("doc", "token", (F.col("pos") < F.col("u")).alias("low"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = posts.join(shared, "token")
+    posts = posts.join(shared, "token").join(rows.select("doc", "n", "u"), "doc")
     mine = Window.partitionBy("doc")
     posts = posts.withColumn("unique", F.col("u") - F.sum(F.col("low").cast("int")).over(mine))
     posts = posts.withColumn("rank", F.row_number().over(mine.orderBy(~F.col("low"), F.when(F.col("low"), F.col("df")), "token")))
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    posts = materialize(posts.filter(~F.col("low") | (F.col("rank") <= prefix - F.col("unique"))).select("doc", "n", "token"), "join-prefix")
+    posts = posts.filter(~F.col("low") | (F.col("rank") <= prefix - F.col("unique"))).select("doc", "n", (F.col("n") - F.col("unique")).alias("free"), "token")
+    posts = materialize(posts, "join-prefix")
     return posts.join(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "token")
 
 
@@ -117,34 +121,42 @@ def _at_least(percent: int):
     return F.col("common") * 100 >= F.col("together") * percent
 
 
-def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Edges ``(a, b)`` that connect all linked nodes; ``lists``: (token, doc, n)."""
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    centres = lists.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("centre")).select("token", F.col("centre.doc").alias("a"), F.col("centre.n").alias("m"))
-    pairs = lists.join(centres, "token").filter((F.col("a") != F.col("doc")) & fits).select("a", F.col("doc").alias("b")).distinct()
+def _fits(percent: int):
+    """Whether sizes, and what each shares with anyone, allow documents (n, free) and (m, open) to link."""
+    enough = F.least("free", "open") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & enough
+
+
+def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect all linked nodes; ``lists``: (token, doc, n, free)."""
+    fits = _fits(percent)
+    best = F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "doc", "n", "free"))
+    centres = lists.groupBy("token").agg(best.alias("c")).select("token", F.col("c.doc").alias("a"), F.col("c.n").alias("m"), F.col("c.free").alias("open"))
+    pairs = lists.join(centres, (lists["token"] == centres["token"]) & (F.col("a") != F.col("doc")) & fits).select("a", F.col("doc").alias("b")).distinct()
     links = materialize(_compare(pairs, sets, percent, True).filter(_at_least(percent)).select("a", "b"), "join-links")
     stars = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("pivot"))
 
     def placed(found: DataFrame) -> DataFrame:
         parts = connected_components(found, "a", "b")
-        with_part = lists.select("token", "doc", "n").join(parts, lists["doc"] == parts["node"], "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
-        with_part = with_part.join(with_part.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token"), "token")
-        return materialize(with_part.join(stars, "doc", "left").withColumn("pivot", F.coalesce("pivot", "doc")), "join-mixed")
+        mixed = lists.join(parts, lists["doc"] == parts["node"], "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
+        mixed = mixed.join(mixed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token"), "token")
+        return materialize(mixed.join(stars, "doc", "left").withColumn("pivot", F.coalesce("pivot", "doc")), "join-mixed")
 
     mixed = placed(links)
     if mixed.isEmpty():
         return links
-    others = mixed.select("token", F.col("pivot").alias("q"), F.col("part").alias("other")).distinct()
-    pairs = mixed.join(others, "token").filter((F.col("part") != F.col("other")) & (F.col("doc") != F.col("q"))).select(F.col("doc").alias("a"), F.col("q").alias("b")).distinct()
+    others = mixed.select(F.col("token").alias("t"), F.col("pivot").alias("q"), F.col("part").alias("other"), F.col("n").alias("m"), F.col("free").alias("open")).distinct()
+    apart = (F.col("token") == F.col("t")) & (F.col("part") != F.col("other"))
+    pairs = mixed.join(others, apart & (F.col("doc") != F.col("q")) & fits).select(F.col("doc").alias("a"), F.col("q").alias("b")).distinct()
     near = materialize(_compare(pairs, sets, percent, False).filter(_at_least(max(0, 2 * percent - 100))), "join-near")
     links = materialize(links.unionByName(near.filter(_at_least(percent)).select("a", "b")), "join-links")
     shell = near.filter(~_at_least(percent)).select(F.col("a").alias("doc"), F.col("b").alias("q"))
     if shell.isEmpty():
         return links
     mixed = placed(links)
-    mine = mixed.select("token", "doc", "n", "part").join(shell, "doc")
-    theirs = mixed.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("pivot").alias("q"), F.col("part").alias("other"))
-    pairs = mine.join(theirs, ["token", "q"]).filter((F.col("part") != F.col("other")) & fits)
+    mine = mixed.select("token", "doc", "n", "free", "part").join(shell, "doc").withColumnRenamed("q", "near")
+    theirs = mixed.select(F.col("token").alias("t"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("free").alias("open"), F.col("pivot").alias("q"), F.col("part").alias("other"))
+    pairs = mine.join(theirs, apart & (F.col("near") == F.col("q")) & fits)
     pairs = pairs.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
     return materialize(links.unionByName(_compare(pairs, sets, percent, True).filter(_at_least(percent)).select("a", "b")), "join-links")
 
@@ -167,16 +179,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
         found = texts.join(broadcast_if_small(left, BROADCAST_IDS), "doc", "left_semi").mapInArrow(_sets(width, percent, True), schema)
         sets = materialize(found.dropDuplicates(["doc", *digest]).select("doc", "n", "tokens"), "join-full")
         kept = sets
-        low = min((1 << 63) - 1, int(region(percent) * (1 << 64)) - (1 << 63))
         for order in range(1, ORDERS):
             again = F.lit(order)
             hashed = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t, again)))  # noqa: B023
-            size = F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")
-            part = kept.select("doc", "n", hashed.alias("tokens")).withColumn("u", F.size(F.filter("tokens", lambda t: t < F.lit(low))))
-            part = part.select("doc", "n", "u", F.slice("tokens", F.lit(1), F.greatest(F.col("u"), size)).alias("tokens"))
-            prefix = _prefixes(part, percent).groupBy("doc").agg(F.collect_set("token").alias(f"prefix{order}"))
+            lists = materialize(_prefixes(kept.select("doc", "n", F.col("n").cast("int").alias("u"), hashed.alias("tokens")), percent), "join-lists")
+            prefix = lists.groupBy("doc").agg(F.collect_set("token").alias(f"prefix{order}"))
             kept = materialize(kept.join(prefix, "doc"), "join-kept")
-        links = _links(materialize(lists.join(kept.select("doc").distinct(), "doc", "left_semi"), "join-lists"), kept, percent)
+        links = _links(lists, kept, percent)
     parts = connected_components(links, "a", "b")
     nodes = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = rows.select("doc", *digest).join(nodes, digest, "left")
