@@ -242,7 +242,7 @@ def _arrays(spark: SparkSession, model: Model, shard: int, shards: int, frequent
     for k in range(model.order + 1):
         a, b = gk == k, ck == k
         levels.append((column(g, "gram", np.uint64)[a], column(g, "c")[a], column(c, "context", np.uint64)[b], column(c, "total")[b], column(c, "kinds")[b], column(c, "below")[b]))
-    w = (model.words if shard == 0 else model.words.limit(0)).filter(F.col("n") * frequent >= model.total).toArrow()
+    w = (model.words if shard == 0 else model.words.limit(0)).filter((F.col("n") * frequent >= model.total) | (F.col("key") == int(END_WORD.view(np.int64)))).toArrow()
     return {"id": f"{id(model)}-{model.nodes}-{shard}-{np.random.default_rng().integers(1 << 62)}", "levels": levels, "words": w.column("key").to_numpy().view(np.uint64), "counts": column(w, "n")}
 
 

@@ -138,25 +138,36 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def placed(found: DataFrame) -> DataFrame:
         parts = connected_components(found, "a", "b")
-        mixed = lists.join(parts, lists["doc"] == parts["node"], "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
+        mixed = lists.join(parts, lists["doc"] == parts["node"], "left").withColumn("single", F.col("component").isNull())
+        mixed = mixed.withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
         mixed = mixed.join(mixed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token"), "token")
         return materialize(mixed.join(stars, "doc", "left").withColumn("pivot", F.coalesce("pivot", "doc")), "join-mixed")
 
     mixed = placed(links)
     if mixed.isEmpty():
         return links
-    others = mixed.select(F.col("token").alias("t"), F.col("pivot").alias("q"), F.col("part").alias("other"), F.col("n").alias("m"), F.col("free").alias("open")).distinct()
+    # Documents without a link meet each other once, in their first common list. Stars meet
+    # all documents of other components, by their centres.
+    mine = mixed.join(lists.groupBy("doc").agg(F.collect_set("token").alias("tokens")), "doc")
+    others = mine.select(
+        F.col("token").alias("t"), F.col("pivot").alias("q"), F.col("part").alias("other"), F.col("n").alias("m"), F.col("free").alias("open"), F.col("single").alias("alone"),
+        F.when(F.col("single"), F.col("tokens")).alias("theirs"),
+    ).distinct()
     apart = (F.col("token") == F.col("t")) & (F.col("part") != F.col("other"))
-    pairs = mixed.join(others, apart & (F.col("doc") != F.col("q")) & fits).select(F.col("doc").alias("a"), F.col("q").alias("b")).distinct()
+    once = F.col("single") & (F.col("doc") < F.col("q")) & (F.col("token") == F.array_min(F.array_intersect("tokens", "theirs")))
+    pairs = mine.join(others, apart & (F.col("doc") != F.col("q")) & fits & (~F.col("alone") | once)).select(F.col("doc").alias("a"), F.col("q").alias("b")).distinct()
     near = materialize(_compare(pairs, sets, percent, False).filter(_at_least(max(0, 2 * percent - 100))), "join-near")
     links = materialize(links.unionByName(near.filter(_at_least(percent)).select("a", "b")), "join-links")
     shell = near.filter(~_at_least(percent)).select(F.col("a").alias("doc"), F.col("b").alias("q"))
     if shell.isEmpty():
         return links
-    mixed = placed(links)
-    mine = mixed.select("token", "doc", "n", "free", "part").join(shell, "doc").withColumnRenamed("q", "near")
-    theirs = mixed.select(F.col("token").alias("t"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("free").alias("open"), F.col("pivot").alias("q"), F.col("part").alias("other"))
-    pairs = mine.join(theirs, apart & (F.col("near") == F.col("q")) & fits)
+    mixed = placed(links).join(lists.groupBy("doc").agg(F.collect_set("token").alias("tokens")), "doc")
+    mine = mixed.select("token", "doc", "n", "free", "part", "tokens").join(shell, "doc").withColumnRenamed("q", "near")
+    theirs = mixed.filter(~F.col("single")).select(
+        F.col("token").alias("t"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("free").alias("open"), F.col("pivot").alias("q"), F.col("part").alias("other"), F.col("tokens").alias("theirs")
+    )
+    once = F.col("token") == F.array_min(F.array_intersect("tokens", "theirs"))
+    pairs = mine.join(theirs, apart & (F.col("near") == F.col("q")) & fits & once)
     pairs = pairs.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
     return materialize(links.unionByName(_compare(pairs, sets, percent, True).filter(_at_least(percent)).select("a", "b")), "join-links")
 
