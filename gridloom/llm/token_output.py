@@ -7,9 +7,10 @@ their own, and the page indexes let a reader skip to the pages of some ids or re
 token counts alone. ``manifest`` has for each file its documents, tokens and the number of
 tokens in all files before it.
 
-Encoding is that of the tokenizers library for the whole text. Words of a text that has
-only Latin letters and ASCII marks are encoded once per worker and looked up after that
-(the vocabulary's splitting never crosses white space); other texts go through whole.
+Encoding is that of the tokenizers library for the whole text. A text that has only Latin
+letters and ASCII marks is cut at white space, and between ASCII letters and marks, where
+the vocabulary's own splitting always cuts too; each distinct piece is encoded once per
+worker and looked up after that, in whole arrays. Other texts go through whole.
 
 Null texts count as empty and hold the end id alone. Rows with the same id stay rows of
 their own, next to each other. Null ids come first.
@@ -17,7 +18,6 @@ their own, next to each other. Null ids come first.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +28,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.words import IS_WORD, chunks, hashes, spans
 from gridloom.operators.tables import new_path
 
 END_ID = 1
-CACHE_WORDS = 500_000
-#: What keeps a text from being encoded word by word: other scripts, separators that only Python takes as white space, special tokens, and the letter that becomes two.
-UNUSUAL = re.compile(r"[^\x00-\x1b\x20-ɏ]|<\||İ")
+CACHE_UNITS = 1_500_000
+CHUNK_BYTES = 1 << 22
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Kinds of bytes: letters, digits and marks are cut from each other; 0 (apostrophes, and bytes of other letters) from nothing.
+KIND = np.full(256, 3, dtype=np.uint8)
+KIND[128:] = 0
+KIND[ord("'")] = 0
+KIND[97:123] = KIND[65:91] = 1
+KIND[48:58] = 2
 
 
 def byte_letters() -> list[str]:
@@ -44,39 +50,82 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-class Lookup(dict):
-    """A dictionary that computes what it lacks, and starts anew when it is full."""
-
-    def __init__(self, compute, limit: int = CACHE_WORDS):
-        super().__init__()
-        self.compute, self.limit = compute, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 class Encoder:
-    """Little-endian 32-bit ids of texts; holds the tokenizer and what it has encoded."""
+    """Token ids of texts; holds the tokenizer and the pieces it has encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        letters, model = byte_letters(), self.tokenizer.model
-        piece = lambda p: np.array([t.id for t in model.tokenize("".join([letters[b] for b in p.encode()]))], "<u4").tobytes()
-        pieces = Lookup(piece)
-        self.words = Lookup(lambda w: b"".join([pieces[p] for p in PIECES.findall(w.lower())]))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        self.letters = byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.ids, self.n_ids, self.starts, self.sizes = np.zeros(1 << 16, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _unit(self, text: str) -> list[int]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        text = text.lower()
+        if text.isascii() and text.isalpha():
+            return [t.id for t in tokenize(text)]
+        return [t.id for p in PIECES.findall(text) for t in tokenize("".join([letters[b] for b in p.encode()]))]
+
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        coded = [self._unit(t) for t in texts]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        flat = np.array([i for c in coded for i in c], np.int32)
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
+        self.starts = np.r_[self.starts, self.n_ids + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.n_ids += len(flat)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, each with ``end`` after it, and their numbers."""
+        docs = len(offsets) - 1
+        # Texts of other scripts, with separators that regular expressions do not take as white space, special tokens, or the letter that becomes two.
+        odd = (data >= 0xC9) | ((data >= 0x1C) & (data <= 0x1F))
+        odd[:-1] |= ((data[:-1] == ord("<")) & (data[1:] == ord("|"))) | ((data[:-1] == 0xC4) & (data[1:] == 0xB0))
+        unusual = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)
+        starts, ends, first = spans(data, offsets)
+        if len(starts):
+            kind = KIND[data]
+            kind[~IS_WORD[data]] = 0
+            edge = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            edge[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+            cut = np.flatnonzero(edge) + 1
+            starts, ends = np.sort(np.r_[starts, cut]), np.sort(np.r_[ends, cut])
+            first = np.searchsorted(starts, offsets)
+        if len(self.rows) > CACHE_UNITS:
+            self.clear()
+        keys, at, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        rows = np.array([self.rows.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            raw = data.tobytes()
+            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            rows[new] = np.arange(len(self.rows) - len(new), len(self.rows))
+        rows = rows[place]
+        sizes = self.sizes[rows]
+        before = np.r_[0, np.cumsum(sizes)]
+        totals = np.diff(before[first])
+        of = np.repeat(np.arange(docs), np.diff(first))
+        out = np.full(before[-1] + docs, end, np.int32)
+        n = np.arange(before[-1])
+        out[n + np.repeat(of, sizes)] = self.ids[n + np.repeat(self.starts[rows] - before[:-1], sizes)]
+        if len(unusual):
+            parts = np.split(out, np.cumsum(totals + 1)[:-1])
+            for i in unusual.tolist():
+                parts[i] = np.r_[self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")), np.int32(end)]
+            out, totals = np.concatenate(parts).astype(np.int32), np.array([len(p) - 1 for p in parts])
+        return out, totals + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -91,14 +140,11 @@ def _encode(path: str | None, end_id: int):
             where = public_tokenizers.path("word_bpe_49k.json")
         if where not in _encoders:
             _encoders[where] = Encoder(where)
-        encode, end = _encoders[where].encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                coded = [encode(t or "") + end for t in part.column(part.num_columns - 1).to_pylist()]
-                sizes = np.array([len(c) // 4 for c in coded], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), ids], [*part.schema.names[:-1], "n_tokens", "ids"])
+            for lo, hi, data, offsets in chunks(batch.column(batch.num_columns - 1), CHUNK_BYTES):
+                flat, sizes = _encoders[where].encode(data, offsets, end_id)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], pa.array(sizes.astype(np.int32)), ids], [*batch.schema.names[:-1], "n_tokens", "ids"])
 
     return run
 
