@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "planning")
 
 
 def load_all() -> None:
