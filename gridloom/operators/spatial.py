@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import covers
+
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """``(left_id, right_id, distance)`` of points ``(id, x, y)`` at most ``radius`` apart.
@@ -24,3 +26,24 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFra
 def in_box(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Points in a closed box; plain comparisons, so they reach the scan."""
     return points.filter((F.col("x") >= x0) & (F.col("x") <= x1) & (F.col("y") >= y0) & (F.col("y") <= y1))
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """``(left_id, right_id, distance)``: the nearest right point within ``radius``; ties go to the smallest id."""
+    best = within_distance(left, right, radius).groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("best"))
+    return best.select("left_id", "best.right_id", "best.distance")
+
+
+def first_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """``(id, polygon)``: the smallest polygon that covers each point of ``(id, x, y)``; points outside all are left out.
+
+    ``polygons``: (polygon, ring). Each polygon goes to the cells of side ``cell`` that its
+    box touches, which should be few; each point goes to one.
+    """
+    index = lambda c: F.floor(c / cell)
+    side = lambda pick, k: pick(F.transform("ring", lambda p: p[k]))
+    span = lambda k: F.explode(F.sequence(index(side(F.array_min, k)), index(side(F.array_max, k))))
+    boxes = polygons.filter(F.size("ring") > 2).select("polygon", "ring", span("x").alias("cx")).select("polygon", "ring", "cx", span("y").alias("cy"))
+    p = points.select("id", "x", "y", index(F.col("x")).alias("cx"), index(F.col("y")).alias("cy"))
+    inside = p.join(boxes, ["cx", "cy"]).filter(covers(F.col("ring"), F.col("x"), F.col("y")))
+    return inside.groupBy("id").agg(F.min("polygon").alias("polygon"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "planning")
+MODULES = ("scoring", "planning", "territory")
 
 
 def load_all() -> None:
