@@ -57,8 +57,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = lines_of(body)
     units = F.when(F.size(lines) > 1, F.concat(F.array(body), lines)).otherwise(F.array(body))
-    units = docs.select(F.col(id_col).alias("doc"), F.posexplode(units).alias("unit", "part")).select("doc", "unit", words(F.col("part")).alias("words"))
-    units = units.filter(F.size("words") > least * t / (2 - t)).select("doc", "unit", bigrams(F.col("words")).alias("bigrams"))
+    units = docs.select(F.col(id_col).alias("doc"), F.posexplode(units).alias("unit", "part"))
+    # Exploded arrays of one element: a filter after them is not pushed below, where it would make words and bigrams again.
+    units = units.select("doc", "unit", F.explode(F.array(words(F.col("part")))).alias("words"))
+    units = units.filter(F.size("words") > least * t / (2 - t)).select("doc", "unit", F.explode(F.array(bigrams(F.col("words")))).alias("bigrams"))
     units = units.withColumn("size", F.size("bigrams")).filter(F.col("size") <= most * (2 - t) / t)
     candidate = (F.col("size") * (200 - percent) >= F.col("template_size") * percent) & (F.col("size") * percent <= F.col("template_size") * (200 - percent))
     common = units.select("doc", "unit", "size", F.explode("bigrams").alias("bigram")).join(F.broadcast(parts), "bigram").filter(candidate)
