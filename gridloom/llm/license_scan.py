@@ -6,6 +6,10 @@ normalised: A-Z lower-cased, words of letters and digits, the set of their bigra
 ``t / (2 - t)`` and ``(2 - t) / t`` times the template's, so other templates are not
 candidates for a unit, and units that fit no template are never cut into bigrams.
 
+A match has at least ``t / (2 - t)`` of the template's bigrams. ``marks`` therefore finds a
+few words of the templates without which too few bigrams are left to match any, and texts
+and units that contain none of them are not cut into words at all.
+
 Templates are a fixed list, so their bigrams are broadcast. Units count bigrams of their
 own before the shuffle. Null and empty texts, and units of one word, match nothing.
 Rows with the same id share a result. Ties go to the template first by name.
@@ -13,11 +17,16 @@ Rows with the same id share a result. Ties go to the template first by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections import Counter
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.decontamination import words
-from gridloom.llm.line_dedup import lines_of
+from gridloom.llm.decontamination import WORD, words
+from gridloom.llm.line_dedup import LOWER, UPPER, lines_of, lower_ascii
 
 #: Public licence notices.
 TEMPLATES = {
@@ -36,6 +45,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 PERCENT = 80
+#: Shorter words are marks only where longer ones do not do.
+MARK_CHARS = 6
 
 
 def bigrams(ws):
@@ -49,15 +60,41 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> DataFram
     return rows.select("template", F.size("bigrams").alias("template_size"), F.explode("bigrams").alias("bigram"))
 
 
+def marks(templates: dict[str, str], percent: int) -> list[str]:
+    """Words of which every match has one; chosen greedily, long ones first."""
+    missing = []
+    for text in templates.values():
+        ws = re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+        pairs = set(zip(ws, ws[1:], strict=False))
+        missing.append((pairs, len(pairs) + 1 - max(1, -(-percent * len(pairs) // (200 - percent)))))
+    found = []
+    while any(pairs and need > 0 for pairs, need in missing):
+        gain = Counter()
+        for pairs, need in missing:
+            covers = Counter(w for pair in pairs for w in set(pair))
+            gain.update({w: min(n, need) for w, n in covers.items() if need > 0})
+        found.append(max(gain, key=lambda w: (len(w) >= MARK_CHARS, gain[w], w)))
+        missing = [(rest := {p for p in pairs if found[-1] not in p}, need - len(pairs) + len(rest)) for pairs, need in missing]
+    return sorted(found)
+
+
+def marked(text: Column, found: list[str]) -> Column:
+    """Whether a lower-cased text has one of these words; the search for whole words runs only where the letters occur."""
+    letter = WORD.rstrip("+")
+    return reduce(or_, [F.contains(text, F.lit(w)) & text.rlike(f"(?<!{letter}){re.escape(w)}(?!{letter})") for w in found], F.lit(False))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``(doc, unit, template, dice)`` of all matches; unit 0 is the whole text, others are lines from 1."""
     parts = template_bigrams(docs.sparkSession, templates or TEMPLATES)
     t = percent / 100
     least, most = parts.agg(F.min("template_size"), F.max("template_size")).first()
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = lines_of(body)
-    units = F.when(F.size(lines) > 1, F.concat(F.array(body), lines)).otherwise(F.array(body))
-    units = docs.select(F.col(id_col).alias("doc"), F.posexplode(units).alias("unit", "part"))
+    found = marks(templates or TEMPLATES, percent)
+    body = lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    texts = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(body)).alias("body")).filter(marked(F.col("body"), found))
+    lines = lines_of(F.col("body"))
+    units = texts.select("doc", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("body"), lines)).otherwise(F.array("body"))).alias("unit", "part"))
+    units = units.filter(marked(F.col("part"), found))
     # Exploded arrays of one element: a filter after them is not pushed below, where it would make words and bigrams again.
     units = units.select("doc", "unit", F.explode(F.array(words(F.col("part")))).alias("words"))
     units = units.filter(F.size("words") > least * t / (2 - t)).select("doc", "unit", F.explode(F.array(bigrams(F.col("words")))).alias("bigrams"))
