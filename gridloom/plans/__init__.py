@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "planning", "territory")
+MODULES = ("scoring", "planning", "territory", "assembly")
 
 
 def load_all() -> None:
