@@ -231,3 +231,13 @@ def test_digest_of_kept_lines(spark, tmp_path):
     for i, t in enumerate(texts):
         kept = "" if t is None else f"own {i}"
         assert (got[i].n_lines, got[i].n_dropped, got[i].kept_sha256) == ((2, 1) if t else (1, 0)) + (hashlib.sha256(kept.encode()).hexdigest(),)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_no_match_without_a_mark(percent):
+    found = set(license_scan.marks(license_scan.TEMPLATES, percent))
+    for text in license_scan.TEMPLATES.values():
+        ws = re.findall(r"[a-z0-9]+", text.lower())
+        pairs = set(itertools.pairwise(ws))
+        common = len({p for p in pairs if not found & set(p)})
+        assert 200 * common < percent * (common + len(pairs))
