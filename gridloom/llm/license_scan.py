@@ -1,25 +1,33 @@
 """Licence templates found by the Dice coefficient of word bigrams; DataFrame functions only.
 
-The units compared are each text as a whole and each of its lines. Both sides are
-normalised: A-Z lower-cased, words of letters and digits, the set of their bigrams.
-``Dice = 2 common / (size + template's size)`` is at least ``t`` only for sizes between
-``t / (2 - t)`` and ``(2 - t) / t`` times the template's, so other templates are not
-candidates for a unit, and units that fit no template are never cut into bigrams.
+The units compared are each text as a whole, each of its lines, and passages: runs of
+consecutive words of a text, over line breaks and inside longer lines. Both sides are
+normalised: A-Z lower-cased, words of letters and digits, the set of their bigrams. A unit
+matches a template where ``Dice = 2 common / (size + template's size)`` is at least ``t``.
+
+A passage begins and ends with a bigram of its template and has at most ``(2 - t) / t`` times
+the template's bigrams, repeats counted. Each start takes the end with the highest Dice (the
+first of equal ones); of passages of one template that overlap, the one with the highest Dice
+stays. Where the text, or a line that the passage touches, matches the template itself, that
+unit stands for it and the passage is none. ``OP8_SQL`` knows texts and lines only, so it
+equals this for texts without such passages.
 
 A match has at least ``t / (2 - t)`` of the template's bigrams. ``marks`` therefore finds a
 few words of the templates without which too few bigrams are left to match any, and texts
 and units that contain none of them are not cut into words at all.
 
-Templates are a fixed list, so their bigrams are broadcast. Units count bigrams of their
-own before the shuffle. Null and empty texts, and units of one word, match nothing.
-Rows with the same id share a result. Ties go to the template first by name.
+Templates are a fixed list, so their bigrams are part of the plan, and a text's units and
+passages are compared within its row. Null and empty texts, and units of one word, match
+nothing. Rows with the same id share a result. Ties go to the template first by name.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,22 +57,32 @@ PERCENT = 80
 MARK_CHARS = 6
 
 
-def bigrams(ws):
-    n = F.size(ws) - 1
-    return F.array_distinct(F.zip_with(F.slice(ws, F.lit(1), F.greatest(n, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+def pairs_of(ws: Column) -> Column:
+    """Bigrams in order, repeats kept."""
+    n = F.greatest(F.size(ws) - 1, F.lit(0))
+    return F.zip_with(F.slice(ws, F.lit(1), n), F.slice(ws, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``(template, template_size, bigram)``."""
-    rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").select("template", bigrams(words(F.col("text"))).alias("bigrams"))
-    return rows.select("template", F.size("bigrams").alias("template_size"), F.explode("bigrams").alias("bigram"))
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def parts_of(templates: dict[str, str], percent: int) -> list[dict]:
+    """By template: its distinct bigrams, how many of them a match has, and the bigrams of its longest passage."""
+    out = []
+    for name, text in sorted(templates.items()):
+        ws = words_of(text)
+        grams = list(dict.fromkeys(f"{a} {b}" for a, b in pairwise(ws)))
+        if grams:
+            out.append({"template": name, "grams": grams, "need": max(1, -(-percent * len(grams) // (200 - percent))), "longest": (len(ws) - 1) * (200 - percent) // percent})
+    return out
 
 
 def marks(templates: dict[str, str], percent: int) -> list[str]:
     """Words of which every match has one; chosen greedily, long ones first."""
     missing = []
     for text in templates.values():
-        ws = re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+        ws = words_of(text)
         pairs = set(zip(ws, ws[1:], strict=False))
         missing.append((pairs, len(pairs) + 1 - max(1, -(-percent * len(pairs) // (200 - percent)))))
     found = []
@@ -84,26 +102,77 @@ def marked(text: Column, found: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) & text.rlike(f"(?<!{letter}){re.escape(w)}(?!{letter})") for w in found], F.lit(False))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Columns made once: exploded arrays of one element, which later expressions and filters do not repeat."""
+    for name, value in columns.items():
+        rows = rows.select("*", F.explode(F.array(value)).alias(name))
+    return rows
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def enough(common: Column, size: Column, part: Column, percent: int) -> Column:
+    return common * 200 >= (size + F.size(part["grams"])) * percent
+
+
+def passages(pairs: Column, hits: Column, part: Column, percent: int) -> Column:
+    """``(d, start, last)`` of each start's best passage, if it matches: minus its Dice, its first and its last word."""
+    grams = part["grams"]
+
+    def best(at: Column) -> Column:
+        run = F.transform(F.sequence(at, F.least(at + part["longest"], F.size(pairs)) - 1), lambda j: F.get(pairs, j))
+
+        def to(s: Column, k: Column) -> Column:
+            begin = F.slice(s, F.lit(1), k)
+            common, size = F.size(F.array_intersect(begin, grams)), F.size(F.array_distinct(begin))
+            d = -(common * 2 / (size + F.size(grams)))
+            return F.when(enough(common, size, part, percent), F.struct(d.alias("d"), at.alias("start"), (at + k).alias("last")))
+
+        def ends(s: Column) -> Column:
+            at_hit = F.filter(F.sequence(part["need"], F.size(s)), lambda k: F.array_contains(grams, F.get(s, k - 1)))
+            return F.array_min(F.transform(at_hit, lambda k: to(s, k)))
+
+        return let(run, lambda s: F.when(F.size(F.array_intersect(s, grams)) >= part["need"], ends(s)))
+
+    starts = F.filter(hits, lambda x: F.array_contains(grams, x["pair"]))
+    return F.filter(F.transform(starts, lambda x: best(x["at"])), lambda x: x.isNotNull())
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``(doc, unit, template, dice)`` of all matches; unit 0 is the whole text, others are lines from 1."""
-    parts = template_bigrams(docs.sparkSession, templates or TEMPLATES)
-    t = percent / 100
-    least, most = parts.agg(F.min("template_size"), F.max("template_size")).first()
+    """``(doc, unit, template, dice)`` of all matches; unit 0 is the whole text, others are lines from 1 and passages as -1 - their first word's place."""
+    parts = parts_of(templates or TEMPLATES, percent)
     found = marks(templates or TEMPLATES, percent)
+    known = F.array(*[F.struct(F.lit(p["template"]).alias("template"), F.array(*map(F.lit, p["grams"])).alias("grams"), F.lit(p["need"]).alias("need"), F.lit(p["longest"]).alias("longest")) for p in parts])
+    grams = sorted({g for p in parts for g in p["grams"]})
     body = lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit("")))
     texts = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(body)).alias("body")).filter(marked(F.col("body"), found))
     lines = lines_of(F.col("body"))
     units = texts.select("doc", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("body"), lines)).otherwise(F.array("body"))).alias("unit", "part"))
-    units = units.filter(marked(F.col("part"), found))
-    # Exploded arrays of one element: a filter after them is not pushed below, where it would make words and bigrams again.
-    units = units.select("doc", "unit", F.explode(F.array(words(F.col("part")))).alias("words"))
-    units = units.filter(F.size("words") > least * t / (2 - t)).select("doc", "unit", F.explode(F.array(bigrams(F.col("words")))).alias("bigrams"))
-    units = units.withColumn("size", F.size("bigrams")).filter(F.col("size") <= most * (2 - t) / t)
-    candidate = (F.col("size") * (200 - percent) >= F.col("template_size") * percent) & (F.col("size") * percent <= F.col("template_size") * (200 - percent))
-    common = units.select("doc", "unit", "size", F.explode("bigrams").alias("bigram")).join(F.broadcast(parts), "bigram").filter(candidate)
-    common = common.groupBy("doc", "unit", "size", "template", "template_size").agg(F.count("*").alias("common"))
-    both = F.col("size") + F.col("template_size")
-    return common.filter(F.col("common") * 200 >= both * percent).select("doc", "unit", "template", (F.col("common") * 2 / both).alias("dice"))
+    units = once(units.filter(marked(F.col("part"), found)), words=words(F.col("part")))
+    units = once(units.filter(F.size("words") > min(p["need"] for p in parts)), pairs=pairs_of(F.col("words"))).drop("words")
+    units = once(units, hits=F.filter(F.transform("pairs", lambda p, i: F.struct(i.alias("at"), p.alias("pair"))), lambda x: x["pair"].isin(grams)))
+    units = once(units, has=F.array_distinct(F.col("hits.pair"))).filter(F.size("has") > 0)
+    fits = F.filter(known, lambda p: F.size(F.array_intersect(F.col("has"), p["grams"])) >= p["need"])
+    units = once(units.select("*", F.explode(fits).alias("fit")), size=F.size(F.array_distinct("pairs")), common=F.size(F.array_intersect(F.col("has"), F.col("fit.grams"))))
+    fit, whole = F.col("fit"), enough(F.col("common"), F.col("size"), F.col("fit"), percent)
+    none = F.array().cast("array<struct<d: double, start: int, last: int>>")
+    units = once(units, runs=F.when((F.col("unit") == 0) & ~whole, passages(F.col("pairs"), F.col("hits"), fit, percent)).otherwise(none))
+    units = units.filter(whole | (F.size("runs") > 0))
+    units = once(units, line_words=F.when(F.size("runs") > 0, F.transform(lines_of(F.col("part")), words)))
+    line = once(
+        units,
+        line_of=F.flatten(F.transform("line_words", lambda ws, i: F.array_repeat(i, F.size(ws)))),
+        line_fits=F.transform("line_words", lambda ws: let(F.array_distinct(pairs_of(ws)), lambda b: enough(F.size(F.array_intersect(b, fit["grams"])), F.size(b), fit, percent))),
+    )
+    alone = F.filter("runs", lambda x: ~F.exists(F.sequence(F.get("line_of", x["start"]), F.get("line_of", x["last"])), lambda i: F.get("line_fits", i)))
+    apart = F.aggregate(
+        F.array_sort(alone), none, lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] <= x["last"]) & (x["start"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(x)))
+    )
+    own = F.struct(F.col("unit").alias("unit"), (F.col("common") * 2 / (F.col("size") + F.size(fit["grams"]))).alias("dice"))
+    match = F.when(whole, F.array(own)).otherwise(F.transform(apart, lambda x: F.struct((-1 - x["start"]).alias("unit"), (-x["d"]).alias("dice"))))
+    return line.select("doc", fit["template"].alias("template"), F.explode(match).alias("match")).select("doc", "match.unit", "template", "match.dice")
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

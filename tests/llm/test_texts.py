@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -141,6 +142,19 @@ def test_licences(spark):
     assert got == {0: ("mit", 1.0), 1: ("mit", 1.0), 4: ("gpl-3.0-notice", 1.0)}
 
 
+def test_licences_inside_longer_texts(spark):
+    notice = license_scan.TEMPLATES
+    prose = "\n\n".join(f"Paragraph {i} of the text speaks of rain, of rivers and of roads in the hills." for i in range(30))
+    wrapped = {k: "\n".join(textwrap.wrap(notice[k], 60, initial_indent=" * ", subsequent_indent=" * ")) for k in ("mit-permission", "bsd-conditions", "isc", "apache-2.0-header", "gpl-3.0-notice")}
+    texts = [f"{prose}\n\n{w}\n\n{prose}" for w in wrapped.values()]
+    texts += [f"{prose} {notice['isc']} {prose}".replace("\n", " "), f"{prose}\n{wrapped['isc']}\n{prose}\n{wrapped['isc']}\n{wrapped['bsd-conditions']}", f"{prose}\n{notice['isc'][:100]}\n{prose}"]
+    texts += [f"{prose}\nReleased under\nthe MIT License.\n{prose}\nThis is released under the MIT license.", f"{prose} license {prose}"]
+    got = {r.doc_id: (r.n_units, r.best_template, r.best_dice) for r in license_scan.licences(docs(spark, texts)).collect()}
+    # The header's first line matches the short Apache notice by itself.
+    expected = {i: (1 + (k == "apache-2.0-header"), k, 1.0) for i, k in enumerate(wrapped)}
+    assert got == expected | {5: (1, "isc", 1.0), 6: (3, "bsd-conditions", 1.0), 8: (2, "mit", 1.0)}
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 + 1), None if i % 5 == 4 else f"s{i % 5}" if i % 3 else "s0") for i in range(600)] + [(1000, None, "s9"), (1001, "", "s9")]
     got = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
