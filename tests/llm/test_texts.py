@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -214,6 +215,42 @@ def test_chats(spark, chunk):
         assert [t.index(f"t{i}") for i in range(4)] == sorted(t.index(f"t{i}") for i in range(4))
 
 
+def test_chats_of_tied_and_null_turns(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(None, rng.choice([None, 0, 1]), rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b" * 600 + rng.choice("xyz"), None])) for _ in range(6000)]
+    rows += [(7, 0, "user", "same")] * 3000 + [(c, t, "user", "x") for c in range(10, 300) for t in (0, 0, 1)]
+    seen, over = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    repaired, repaired_open, longest = chat_format.repair, chat_format.repair_open, 256
+
+    def count(codes, *more):
+        seen.add(len(codes))
+        over.add(len(codes) > longest)
+        return repaired(codes, *more)
+
+    def count_open(codes):
+        seen.add(len(codes))
+        over.add(len(codes) > longest)
+        return repaired_open(codes)
+
+    monkeypatch.setattr(chat_format, "repair", count)
+    monkeypatch.setattr(chat_format, "repair_open", count_open)
+    got = [tuple(r) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), chunk=longest).collect()]
+    assert (seen.value, over.value) == (len(rows), 0)
+    low = lambda v: (v is not None, v or 0) if not isinstance(v, str) else (True, v)
+    text_of = lambda v: (v is not None, v or "")
+    expected, ordered = [], sorted(rows, key=lambda r: (low(r[0]), low(r[1]), text_of(r[2]), text_of(r[3])))
+    for _, turns in itertools.groupby(ordered, key=lambda r: r[0]):
+        turns, s = list(turns), 0
+        codes = [chat_format.STATES.index(r[2]) if r[2] else 0 for r in turns]
+        for i, (r, code, o) in enumerate(zip(turns, codes, repaired(codes), strict=True)):
+            action, x = chat_format.MOVES[s, o]
+            head = "\n" if action == "merge" else "<|end|>\n" * (s > 0) + f"<|{chat_format.STATES[x]}|>\n<|end|>\n" * (action == "insert") + f"<|{chat_format.STATES[o]}|>\n"
+            name = action if code == o else "relabel" if action == "keep" else f"relabel+{action}"
+            expected.append((*r[:3], name, chat_format.STATES[o], float(chat_format.STEPS[code][s, o]), head + (r[3] or "") + "<|end|>\n" * (i == len(turns) - 1)))
+            s = o
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(200)]
