@@ -7,10 +7,12 @@ their own, and the page indexes let a reader skip to the pages of some ids or re
 token counts alone. ``manifest`` has for each file its documents, tokens and the number of
 tokens in all files before it.
 
-Encoding is that of the tokenizers library for the whole text. A text that has only Latin
-letters and ASCII marks is cut at white space, and between ASCII letters and marks, where
-the vocabulary's own splitting always cuts too; each distinct piece is encoded once per
-worker and looked up after that, in whole arrays. Other texts go through whole.
+Encoding is that of the tokenizers library for the whole text, without truncation or padding.
+Where the tokenizers file has the normalizer and splitting of ``word_bpe_49k.json``, a text
+that has only Latin letters and ASCII marks is cut at white space, and between ASCII letters
+and marks, where that splitting always cuts too; each distinct piece is encoded once per
+worker and looked up after that, in whole arrays. Other texts, and all texts of other
+tokenizers files, go through whole.
 
 Null texts count as empty and hold the end id alone. Rows with the same id stay rows of
 their own, next to each other. Null ids come first.
@@ -18,6 +20,7 @@ their own, next to each other. Null ids come first.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +38,17 @@ END_ID = 1
 CACHE_UNITS = 1_500_000
 CHUNK_BYTES = 1 << 22
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What ``_unit`` and the cuts of ``encode`` do by themselves.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Texts with this go through whole, so added tokens that begin with it are found.
+SPECIAL = "<|"
 #: Kinds of bytes: letters, digits and marks are cut from each other; 0 (apostrophes, and bytes of other letters) from nothing.
 KIND = np.full(256, 3, dtype=np.uint8)
 KIND[128:] = 0
@@ -50,6 +64,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def cuts_alike(config: dict) -> bool:
+    """Whether pieces of texts may be encoded alone under the tokenizers file with this content."""
+    added = all(t["content"].startswith(SPECIAL) for t in config.get("added_tokens") or [])
+    return added and config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER and not config["model"].get("dropout")
+
+
 class Encoder:
     """Token ids of texts; holds the tokenizer and the pieces it has encoded."""
 
@@ -57,6 +77,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.fast = cuts_alike(json.load(f))
         self.letters = byte_letters()
         self.clear()
 
@@ -89,6 +113,9 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, each with ``end`` after it, and their numbers."""
         docs = len(offsets) - 1
+        if not self.fast:
+            parts = [np.r_[self.whole(data[a:b].tobytes().decode("utf-8", "replace")), np.int32(end)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts])
         # Texts of other scripts, with separators that regular expressions do not take as white space, special tokens, or the letter that becomes two.
         odd = (data >= 0xC9) | ((data >= 0x1C) & (data <= 0x1F))
         odd[:-1] |= ((data[:-1] == ord("<")) & (data[1:] == ord("|"))) | ((data[:-1] == 0xC4) & (data[1:] == 0xB0))

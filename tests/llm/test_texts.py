@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -124,6 +125,31 @@ def test_token_files(spark, tmp_path):
     assert all(c.has_offset_index and c.has_column_index for c in encodings.values())
 
 
+@pytest.mark.parametrize("change", ["cased", "white space", "special token", "truncation"])
+def test_token_files_of_other_tokenizers(spark, tmp_path, change):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        config = json.load(f)
+    if change == "cased":
+        config["normalizer"]["normalizers"].pop()
+    elif change == "white space":
+        config["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    elif change == "special token":
+        config["added_tokens"].append({**config["added_tokens"][0], "id": 49408, "content": "[cat sat]"})
+    else:
+        config["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config), encoding="utf-8")
+    whole = Tokenizer.from_file(str(path))
+    whole.no_truncation()
+    texts = [*TEXTS, "The [cat sat] ON  the\n\nmat", "你好 The cat sat on the mat"]
+    got = {r.doc_id: list(r.ids) for r in token_output.write(docs(spark, texts), str(tmp_path / "t"), tokenizer=str(path)).read("doc_id", "ids").collect()}
+    assert got == {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert ENCODER.fast and token_output.Encoder(str(path)).fast == (change == "truncation")
+
+
 def test_phrases_equal_brute_force(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     texts = [None, "", f"x {item.upper()} y", "a, " + " - ".join(item.split()[:10]), " ".join(item.split()[:9]), "short item", f"{item} {item}", "the " * 50 + "Short, ITEM!"]
