@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.tables import materialize
+from gridloom.operators.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -30,8 +30,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        labels = materialize(
+        before, labels = labels, materialize(
             spread.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") < F.col("old")).alias("moved")),
             "cc-labels",
         )
+        discard(before)
+    discard(e)
     return labels.select("node", F.col("label").alias("component"))

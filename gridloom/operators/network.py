@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.tables import materialize
+from gridloom.operators.tables import discard, materialize
 
 
 def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: float) -> DataFrame:
@@ -27,7 +27,9 @@ def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: float) -
         sent = sent.filter(F.col("distance") <= max_distance).withColumn("old", F.lit(False))
         known = best.select("node", "distance", "origin", F.lit(True).alias("old"))
         found = known.unionByName(sent).groupBy("node").agg(F.min(key).alias("now"), F.min(F.when(F.col("old"), key)).alias("was"))
-        best = materialize(found.select("node", "now.distance", "now.origin", (F.col("was").isNull() | (F.col("now") < F.col("was"))).alias("moved")), "network-best")
+        before, best = best, materialize(found.select("node", "now.distance", "now.origin", (F.col("was").isNull() | (F.col("now") < F.col("was"))).alias("moved")), "network-best")
+        discard(before)
+    discard(e)
     return best.select("node", "distance", "origin")
 
 
@@ -63,5 +65,6 @@ def prune_dangling(edges: DataFrame, shortest: float, passes: int = 16) -> DataF
         gone = materialize(ends.join(dead, "node").select("edge").distinct(), "network-gone")
         if gone.isEmpty():
             break
-        left = materialize(left.join(gone, "edge", "left_anti"), "network-prune")
+        before, left = left, materialize(left.join(gone, "edge", "left_anti"), "network-prune")
+        discard(before, gone)
     return left

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
+    """The shared folder. A temporary one where the session names none, which only a local session may do."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -32,7 +37,22 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that no later result reads."""
+    for table in tables:
+        path, spark = _paths.pop(table), table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(df: DataFrame, name: str, column: str, **options: str) -> DataFrame:
+    """``df`` stored with a number of its own for each row, so that equal rows and rows without an id differ."""
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name, **options)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
