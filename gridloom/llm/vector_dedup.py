@@ -3,17 +3,27 @@
 A hash rotates the vector (three rounds of random signs and a fast Hadamard transform)
 and takes the coordinate of largest size with its sign. A table's bucket joins
 ``hashes`` such values. A vector lies in one bucket a table and looks also into those
-that differ by one hash's second largest coordinate. In every bucket all pairs are
-compared by cosine in double precision, so no pair below the threshold is
-reported; a pair already met in an earlier table is left out. Buckets of over
-``block`` vectors are cut into blocks that meet two by two, so a bucket may hold any
-share of the vectors and a task never holds more than two blocks.
+that differ by one hash's second largest coordinate.
+
+Buckets are searched twice. First with ``SKETCH`` sign bits instead of vectors: rows without a
+neighbour within a number of bits that a linked pair exceeds once in some billions drop
+out. Only for the rows left vectors are fetched, and all their pairs are compared by cosine in
+double precision, so no pair below the threshold is linked. A pair counts where it meets
+first: its codes tell whether it met in an earlier table, or in the other bucket of this one.
+
+A bucket gives numbers of links and a forest that joins what it linked, one row per vector,
+and no pairs. Buckets of over ``block`` vectors are cut into blocks that meet two by
+two, so a bucket may hold any share of the vectors and a task never holds more than two
+blocks. Comparing is quadratic in a group of distinct vectors that are all alike, as their
+numbers of links are; what is shuffled and written is not.
 
 Equal vectors are one node that counts as often as it occurs. Recall is measured
 against brute force in the tests (over 0.99 of the links at cosine 0.9 and more).
 
 Null, zero, empty and non-finite vectors link with nothing, as do vectors of different
-lengths. Labels are not read. Rows with the same id stay rows of their own.
+lengths. Labels are not read. Rows with the same id, or none, stay rows of their own and link by
+their vectors; ``component_id`` is the smallest id that is not null, or null where there is none,
+and a row is ``kept`` where its id and that are the same.
 """
 
 from __future__ import annotations
@@ -29,6 +39,8 @@ from gridloom.operators.graph import connected_components
 from gridloom.operators.tables import materialize
 
 TABLES, HASHES, BLOCK, SEED = 10, 2, 1024, 11
+SKETCH = 128
+KEY = ("t", "bucket", "b1", "b2")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,7 +70,21 @@ def cross_polytope(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarr
     return code[:, 0], code[:, 1]
 
 
-def _buckets(tables: int, hashes: int, seed: int):
+def sketch(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """``SKETCH`` signs of each vector's products with random directions, in words of 64 bits."""
+    bits = vectors @ np.random.default_rng(seed).normal(size=(vectors.shape[1], SKETCH)) > 0
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def reach(threshold: float) -> int:
+    """How many sketch bits of a pair at the threshold differ at most, six deviations above their mean."""
+    share = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return int(np.ceil(SKETCH * share + 6 * np.sqrt(SKETCH * share * (1 - share))))
+
+
+def _coded(tables: int, hashes: int, seed: int):
+    """Rows (node, vector) with their sketch and codes: for each table the vector's bucket, then those it looks into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -69,97 +95,164 @@ def _buckets(tables: int, hashes: int, seed: int):
                 rows = np.flatnonzero(lengths == d)
                 for part in np.array_split(rows, max(1, len(rows) // 2000)):
                     v = flat[starts[part][:, None] + np.arange(d)]
-                    codes, made = [], []
+                    codes = []
                     for t in range(tables):
                         found = [cross_polytope(v, seed * 1_000_003 + t * hashes + h) for h in range(hashes)]
                         bucket = lambda picks: sum(p.astype(np.int64) << (20 * i) for i, p in enumerate(picks)) + (np.int64(d) << 44)  # noqa: B023, E731
-                        base = bucket([f[0] for f in found])
-                        codes.append(base)
-                        made.append((t, False, base))
-                        made += [(t, True, bucket([f[i == h] for i, f in enumerate(found)])) for h in range(hashes)]
-                    kind = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * tables), pa.array(np.column_stack(codes).ravel()))
-                    ids, vectors = batch.column(0).take(pa.array(part)), lists.take(pa.array(part))
-                    for t, probe, b in made:
-                        yield pa.record_batch({"id": ids, "vector": vectors, "codes": kind, "t": pa.array(np.full(len(part), t, np.int32)), "bucket": pa.array(b), "probe": pa.array(np.full(len(part), probe))})
+                        codes.append(bucket([f[0] for f in found]))
+                        codes += [bucket([f[i == h] for i, f in enumerate(found)]) for h in range(hashes)]
+                    bits = sketch(v, seed)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(part)),
+                            *[pa.array(bits[:, i].view(np.int64)) for i in range(bits.shape[1])],
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(codes)), pa.array(np.column_stack(codes).ravel())),
+                        ],
+                        ["node", *[f"s{i}" for i in range(bits.shape[1])], "codes"],
+                    )
 
     return run
 
 
-def _pairs(threshold: float, names: tuple[str, ...]):
-    """Linked pairs within runs of equal keys; rows are sorted by them."""
-
-    def linked(run: pa.Table) -> pa.RecordBatch | None:
-        v = run.column("vector").combine_chunks().flatten().to_numpy().astype(float).reshape(len(run), -1)
-        # Scaling first keeps squares of very large or small components finite.
-        v = v / np.abs(v).max(axis=1)[:, None]
-        v = v / np.sqrt((v * v).sum(axis=1))[:, None]
-        codes = run.column("codes").combine_chunks().flatten().to_numpy().reshape(len(run), -1)
-        probe, block = run.column("probe").to_numpy(), run.column("block").to_numpy()
-        t, b1, b2 = (run.column(c)[0].as_py() for c in ("t", "b1", "b2"))
-        i, j = np.nonzero(np.triu(v @ v.T >= threshold - 1e-9, 1))
-        ok = (~probe[i] | ~probe[j]) & ((block[i] != block[j]) | (b1 == b2))
-        i, j = i[ok], j[ok]
-        # Sums along the rows round alike wherever a pair is met.
-        ok = (v[i] * v[j]).sum(axis=1) >= threshold
-        if t:
-            ok &= (codes[i][:, :t] != codes[j][:, :t]).all(axis=1)
-        if not ok.any():
-            return None
-        ids = run.column("id").combine_chunks()
-        return pa.record_batch({"a": ids.take(pa.array(i[ok])), "b": ids.take(pa.array(j[ok]))})
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of two rows or more with equal keys; rows are sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None and len(held) else pa.Table.from_batches([batch])
+        if not len(held):
+            continue
+        keys = np.column_stack([held.column(c).to_numpy() for c in names])
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                yield held.slice(a, b - a)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held) > 1:
+        yield held
+
+
+def _meet(run: pa.Table) -> np.ndarray:
+    """Which pairs of a run are to be compared in it: one of them lies in the bucket, and blocks meet once."""
+    probe, block = run.column("probe").to_numpy(), run.column("block").to_numpy()
+    one = run.column("b1")[0].as_py() == run.column("b2")[0].as_py()
+    return (~probe[:, None] | ~probe) & (one | (block[:, None] != block))
+
+
+def _near(limit: int):
+    """The rows of each run with a neighbour by sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None and len(held) else pa.Table.from_batches([batch])
-            if not len(held):
+        for rows in _runs(batches, KEY):
+            apart = np.zeros((len(rows), len(rows)), dtype=np.uint8)
+            for c in [c for c in rows.column_names if c.startswith("s")]:
+                bits = rows.column(c).to_numpy().view(np.uint64)
+                apart += np.bitwise_count(bits[:, None] ^ bits)
+            close = (apart <= limit) & _meet(rows)
+            np.fill_diagonal(close, False)
+            keep = np.flatnonzero(close.any(axis=1))
+            if len(keep):
+                yield from rows.select(["node", *KEY, "probe", "block"]).take(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def first_met(codes: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, here: int, width: int) -> np.ndarray:
+    """Whether each pair (i, j), which meets in bucket ``here`` of table ``t``, met in none before."""
+
+    def looks(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
+        """Whether ``a`` looks into the bucket of ``b``."""
+        own = codes[b, table * width]
+        return np.logical_or.reduce([codes[a, table * width + h] == own for h in range(1, width)])
+
+    new = np.ones(len(i), dtype=bool)
+    for before in range(t):
+        new &= (codes[i, before * width] != codes[j, before * width]) & ~looks(i, j, before) & ~looks(j, i, before)
+    other = np.where(codes[i, t * width] == here, codes[j, t * width], codes[i, t * width])
+    return new & ((other >= here) | ~(looks(i, j, t) & looks(j, i, t)))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the smallest one that the pairs (i, j) connect it with."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _links(threshold: float, width: int):
+    """``(a, null, links)`` of each linked vector of a run and ``(a, b, null)`` that connect them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, KEY):
+            v = rows.column("vector").combine_chunks().flatten().to_numpy().astype(float).reshape(len(rows), -1)
+            # Scaling first keeps squares of very large or small components finite.
+            v = v / np.abs(v).max(axis=1)[:, None]
+            v = v / np.sqrt((v * v).sum(axis=1))[:, None]
+            codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+            cosine = v @ v.T
+            i, j = np.nonzero(np.triu((cosine >= threshold - 1e-9) & _meet(rows), 1))
+            # Sums along the rows round alike wherever a pair is met.
+            edge = np.flatnonzero(cosine[i, j] < threshold + 1e-9)
+            keep = np.ones(len(i), dtype=bool)
+            for part in np.array_split(edge, len(edge) // 65_536 + 1):
+                keep[part] = (v[i[part]] * v[j[part]]).sum(axis=1) >= threshold
+            i, j = i[keep], j[keep]
+            new = first_met(codes, i, j, rows.column("t")[0].as_py(), rows.column("bucket")[0].as_py(), width)
+            i, j = i[new], j[new]
+            if not len(i):
                 continue
-            keys = np.column_stack([held.column(c).to_numpy() for c in names])
-            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1 and (found := linked(held.slice(a, b - a))) is not None:
-                    yield found
-            held = held.slice(cuts[-1])
-        if held is not None and len(held) > 1 and (found := linked(held)) is not None:
-            yield found
+            copies, node = rows.column("copies").to_numpy(), rows.column("node").to_numpy()
+            links = (np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))).round().astype(np.int64)
+            root = forest(len(rows), i, j)
+            some, away = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(rows)))
+            yield pa.record_batch({"a": pa.array(node[some]), "b": pa.nulls(len(some), pa.int64()), "links": pa.array(links[some])})
+            yield pa.record_batch({"a": pa.array(node[away]), "b": pa.array(node[root[away]]), "links": pa.nulls(len(away), pa.int64())})
 
     return run
 
 
 def links(nodes: DataFrame, threshold: float = 0.9, tables: int = TABLES, hashes: int = HASHES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Distinct linked pairs ``(a, b)``, ``a < b``, of ``nodes (id, vector)`` with distinct ids."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    rows = nodes.mapInArrow(_buckets(tables, hashes, seed), f"id {kind}, vector array<double>, codes array<bigint>, t int, bucket long, probe boolean")
-    rows = materialize(rows, "vector-buckets")
+    """Links of ``nodes (node, vector, copies)``: rows ``(a, null, links)`` to be summed and edges ``(a, b, null)`` that connect the same nodes."""
+    width = 1 + hashes
+    signs = [f"s{i}" for i in range(SKETCH // 64)]
+    coded = materialize(nodes.select("node", "vector").mapInArrow(_coded(tables, hashes, seed), "node long, " + "".join(f"{s} long, " for s in signs) + "codes array<bigint>"), "vector-codes")
+    place = F.col("place") % width
+    rows = coded.select("node", *signs, F.posexplode("codes").alias("place", "bucket")).select("node", *signs, F.floor(F.col("place") / width).cast("int").alias("t"), "bucket", (place > 0).alias("probe"))
     counts = rows.groupBy("t", "bucket").agg(F.count("*").alias("size"), F.min(F.col("probe").cast("int")).alias("only")).filter("size > 1 and only = 0")
     rows = rows.join(counts.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("t", "bucket", "blocks"), ["t", "bucket"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("id", "vector", "codes", "t", "bucket", "probe", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    key = ("t", "bucket", "b1", "b2")
-    found = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pairs(threshold, key), f"a {kind}, b {kind}")
-    return found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", *signs, "t", "bucket", "probe", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    near = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_near(reach(threshold)), "node long, t int, bucket long, b1 int, b2 int, probe boolean, block int")
+    near = materialize(near, "vector-near")
+    full = near.join(nodes.select("node", "vector", "copies"), "node").join(coded.select("node", "codes"), "node")
+    return full.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_links(threshold, width), "a long, b long, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, **options: int) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every row of ``vectors``."""
-    value = F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    value = F.transform(F.col(vector), lambda x: (x.cast("double") + F.lit(0.0)).cast("float" if single else "double"))  # no negative zero
     rows = vectors.select(F.col(id_col).alias("id"), value.alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("usable", F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True)))
+    rows = rows.withColumn("usable", F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True)))
     rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector"))
     same = ["h1", "h2"]
-    nodes = rows.filter("usable").groupBy(*same).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    nodes = materialize(nodes, "vector-nodes")
-    found = materialize(links(nodes.select(F.col("node").alias("id"), "vector"), threshold, **options), "vector-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = nodes.select(F.col("node").alias("b"), "copies")
-    degree = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("degree"))
-    parts = connected_components(found, "a", "b")
-    nodes = nodes.drop("vector").join(degree, "node", "left").join(parts, "node", "left")
-    out = rows.select("id", "usable", *same).join(nodes, same, "left")
+    nodes = rows.filter("usable").groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+    found = materialize(links(nodes, threshold, **options), "vector-links")
+    degree = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("degree"))
+    parts = connected_components(found.filter("b is not null"), "a", "b")
+    placed = materialize(nodes.select(*same, "node", "first", "copies").join(degree, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "vector-placed")
+    placed = placed.join(placed.groupBy("component").agg(F.min("first").alias("smallest")), "component")
+    out = rows.select("id", "usable", *same).join(placed, same, "left")
     n_links = F.when(F.col("usable"), F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).otherwise(0)
-    component = F.when(F.col("usable"), F.coalesce("component", "node")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("usable"), F.col("smallest")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,67 @@ def test_vectors_equal_brute_force(spark):
     for i in (n, 900, 901, 902, 903, 904):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
     assert got[n - 3].component_id == got[0].component_id
+
+
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again and again", "some other text of quite different words that nobody shares"
+    rows = [(None, a, 1), (7, a + " x", 1), (7, b, 1), (3, b, 1), (None, "alone here with words of its own", 1), (None, None, 1), (9, "", 1), (3, b, 1)]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string, token int"), width=3, percent=80).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 3), (3, 3), (None, None), (None, None), (9, 9), (3, 3)], key=str)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again and again", "some other text of quite different words that nobody shares"
+    rows = [(5, "text without any copy at all in here"), (5, a), (1, a), (1, a), (None, b), (None, b), (None, None), (8, ""), (8, ""), (None, "a text that has no id and no copy")]
+    docs = spark.createDataFrame([(i, t, "x", 4) for i, t in rows], "doc_id long, text string, gone string, rows int")
+    out = ngram_join.without_copies(docs, width=3)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([rows[0], (1, a), (None, b), *rows[6:]], key=str)
+
+
+def test_vectors_of_null_and_repeated_ids(spark):
+    e1, e4, near = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], [1.0, 0.1, 0.0, 0.0]
+    rows = [(1, e1), (1, e4), (2, near), (None, near), (None, [0.0, 1.0, 0.0, 0.0]), (4, e4), (None, None)]
+    got = sorted((tuple(r) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (4, 1, 1, False), (None, 0, None, True)], key=str)
+
+
+def test_vectors_of_an_empty_table(spark):
+    assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("d", [64, 128])
+def test_recall_at_the_threshold(d):
+    rng = np.random.default_rng(d)
+    a = rng.normal(size=(1000, d))
+    b = rng.normal(size=(1000, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    found = np.zeros(1000, dtype=bool)
+    for t in range(vector_dedup.TABLES):
+        codes = [[vector_dedup.cross_polytope(v, vector_dedup.SEED * 1_000_003 + t * vector_dedup.HASHES + h) for h in range(vector_dedup.HASHES)] for v in (a, b)]
+        own = [np.stack([c[0] for c in side]) for side in codes]
+        looks = [[np.stack([c[i == h] for i, c in enumerate(side)]) for h in range(vector_dedup.HASHES)] for side in codes]
+        same = lambda x, y: (x == y).all(axis=0)
+        found |= same(*own) | np.logical_or.reduce([same(x, own[1]) for x in looks[0]] + [same(own[0], x) for x in looks[1]])
+    assert found.mean() > 0.98
+    bits = np.bitwise_count(vector_dedup.sketch(a, 3) ^ vector_dedup.sketch(b, 3)).sum(axis=1)
+    assert bits.max() <= vector_dedup.reach(0.9)
+
+
+def test_links_of_a_dense_group_come_as_counts(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=32) + rng.normal(scale=0.05, size=(150, 32))
+    nodes = spark.createDataFrame([(i, [float(x) for x in e], 1 + i % 3) for i, e in enumerate(v)], "node long, vector array<double>, copies long")
+    rows = vector_dedup.links(nodes, block=32).collect()
+    copies = np.array([1 + i % 3 for i in range(150)])
+    sums = np.zeros(150, int)
+    for r in rows:
+        if r.b is None:
+            sums[r.a] += r.links
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.9) & ~np.eye(150, dtype=bool)
+    assert (sums == linked @ copies).all()
+    assert len(rows) < 150 * 10 * 10
