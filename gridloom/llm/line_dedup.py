@@ -4,14 +4,14 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 ``line_rows`` hashes every key to 128 bits. Rows are dealt to partitions by ranges of
 the (uniform) hash and sorted there by hash, document and position, so one pass over each
 partition sees a key's lines together and its first occurrence first. A key with more
-than one in ``HOT_SHARE`` of all lines never enters the sort: there are at most
-``HOT_SHARE`` such keys, so their decisions are broadcast, and one key may hold any
+than one in ``hot_share`` of all lines never enters the sort: there are at most
+``hot_share`` such keys, so their decisions are broadcast, and one key may hold any
 share of the rows. What comes back per document is a sparse bitmap of dropped lines:
 ``array<struct<word, bits>>`` with 63 lines a word and no entry where all are kept.
 
 Null and empty texts are one empty line. Keys shorter than ``min_chars`` code points are
-kept always. Rows with the same id are documents of their own: rows are told apart by
-``uid``. Columns other than the id and the text are ignored.
+kept always. ``uid`` is a number that each stored row has of its own, so rows with the same
+id or none, and equal rows, are documents of their own. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.tables import materialize
+from gridloom.operators.tables import materialize, numbered
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,7 +44,7 @@ def line_rows(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFr
     return rows.select("uid", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def drops(lines: DataFrame, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
+def drops(lines: DataFrame, min_docs: int = 2, keep_first: bool = True, hot_share: int = HOT_SHARE) -> DataFrame:
     """``(uid, pos)`` of the lines to drop among ``line_rows``.
 
     Keys in ``min_docs`` documents or more lose their lines: all of them, or all but the
@@ -52,7 +52,7 @@ def drops(lines: DataFrame, min_docs: int = 2, keep_first: bool = True) -> DataF
     """
     key = ["h1", "h2"]
     total = lines.count()
-    hot = lines.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") * HOT_SHARE >= total).select(*key)
+    hot = lines.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") * hot_share >= total).select(*key)
     hot = materialize(hot, "line-hot")
     decided = (
         lines.join(F.broadcast(hot), key)
@@ -88,25 +88,28 @@ def keep_lines(lines: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~out(i)))
 
 
-def keep_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 2, min_chars: int = 1, keep_first: bool = True) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, hot_share: int = HOT_SHARE) -> DataFrame:
     """``(uid, dropped)`` for the documents of ``docs`` (with a unique ``uid``) that lose lines."""
     lines = materialize(line_rows(docs, text, min_chars), "line-rows")
-    return bitmaps(drops(lines, min_docs, keep_first))
+    return bitmaps(drops(lines, min_docs, keep_first, hot_share))
+
+
+def kept(docs: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
+    """``keep`` columns, ``lines`` and ``dropped`` (the sparse bitmap, null where no line goes) of every row of ``docs``."""
+    rows = numbered(docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).cast("string").alias("text")), "line-docs", "uid", compression="zstd")
+    found = keep_bitmaps(rows.select("uid", "text"), **options)
+    joined = rows.join(found.hint("shuffle_hash"), "uid", "left")
+    return joined.select("kept.*", lines_of(F.col("text")).alias("lines"), "dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # The id tells rows apart here; documents with the same id would share their decisions.
-    docs = docs.withColumn("uid", F.col("doc_id"))
-    found = keep_bitmaps(docs, min_docs=10, keep_first=False)
-    joined = docs.select("doc_id", "text").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("uid"), "left")
-    kept = keep_lines(lines_of(F.col("text")), F.col("dropped"))
+    rows = kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], min_docs=10, keep_first=False)
     n_dropped = F.coalesce(F.aggregate("dropped", F.lit(0), lambda n, w: n + F.bit_count(w.bits)), F.lit(0))
-    return joined.select(
+    return rows.select(
         "doc_id",
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         n_dropped.cast("long").alias("n_dropped"),
-        F.sha2(F.encode(F.array_join(kept, "\n"), "UTF-8"), 256).alias("kept_sha256"),
+        F.sha2(F.encode(F.array_join(keep_lines(F.col("lines"), F.col("dropped")), "\n"), "UTF-8"), 256).alias("kept_sha256"),
     )
 
 
