@@ -5,12 +5,16 @@ gives all documents ``floor(t / n)`` times and, once more, those whose hash lies
 the source's threshold. Thresholds come from histograms: words by source and leading
 hash bits; the running sum of a source's buckets finds the bucket where the rest of
 the budget ends, and only documents of that bucket are counted again by their next
-bits, until the bits are used up. So no document is sorted or moved to find a
-threshold, thresholds are nested (a larger budget takes a superset), and reruns agree.
+bits, until each source's bucket holds one document or the bits are used up. So no document
+is sorted or moved to find a threshold, thresholds are nested (a larger budget takes a
+superset), and reruns agree. The hash is of the id; where that leaves several rows in a bucket
+(repeated or null ids), the bits of the stored row's own number follow.
 
 Targets are ``share * total`` by weight; a target stops at ``cap`` times its source's
 words and the excess goes to the others by weight. Sources rank by code point, null
-last, and null is a source. Null texts have no words. Sources without words get 0.
+last, and null is a source. Null texts have no words. Sources without words get 0, and so
+does each of their documents. No document is taken more than ``cap`` times, one without words
+neither. Columns of any name stay.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.tables import materialize
+from gridloom.operators.ranges import running
+from gridloom.operators.tables import broadcast_if_small, materialize, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LEVEL_BITS = 12
+#: Levels of one hash; those of the row's number follow.
 LEVELS = 5
 BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -32,8 +38,12 @@ def n_words(text: Column) -> Column:
 
 
 def _bucket(level: int) -> Column:
-    """Bits ``level * LEVEL_BITS`` on of the 60 leading bits of the hash."""
-    return F.shiftrightunsigned("hash", 64 - (level + 1) * LEVEL_BITS).bitwiseAND((1 << LEVEL_BITS) - 1)
+    """Bits ``level * LEVEL_BITS`` on of the 60 leading bits of the id's hash and then of the row's."""
+    return F.shiftrightunsigned("h1" if level < LEVELS else "h2", 64 - (level % LEVELS + 1) * LEVEL_BITS).bitwiseAND((1 << LEVEL_BITS) - 1)
+
+
+def _leading(h: str) -> Column:
+    return F.shiftrightunsigned(h, 64 - LEVELS * LEVEL_BITS)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -42,88 +52,110 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Sources reach their cap in the order of cap by weight. The sources before the first
     that fits its share of what is left are capped; the others split that rest.
     """
-    by_rank, everything = Window.orderBy(F.col("source").asc_nulls_last()), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_rank) - 1, F.lit(len(weights))) + 1).cast("int"))
-    by_cap = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    t = sizes.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(cap))
-    t = t.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-    t = t.withColumn("rest", F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))).withColumn("heavy", F.sum("weight").over(after))
-    t = t.withColumn("level", F.col("rest") / F.col("heavy")).withColumn("fits", F.col("level") * F.col("weight") <= F.col("limit"))
-    t = t.withColumn("level", F.min(F.when(F.col("fits"), F.struct((F.col("limit") / F.col("weight")).alias("at"), "level"))).over(everything)["level"])
-    return t.select("source", "source_size", "weight", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
-
-
-def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``copies`` and ``under``: documents whose leading 60 hash bits are below it count once more.
-
-    ``sized`` has (source, size, hash). One histogram per level; below the first, only of
-    each source's boundary bucket.
+    t = running(sizes.withColumn("unnamed", F.col("source").isNull()), [], [F.col("unnamed").asc(), F.col("source").asc()], {}, "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    t = t.select("source", "source_size", "unnamed", weight.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("limit"))
+    t = t.withColumn("reached", F.col("limit") / F.col("weight"))
+    t = running(t, [], [F.col("reached").asc(), F.col("unnamed").asc(), F.col("source").asc()], {"limits": "limit", "heavier": "weight"})
+    budget = F.col("limits_all") / cap * share
+    level = (budget - (F.col("limits") - F.col("limit"))) / (F.col("heavier_all") - F.col("heavier") + F.col("weight"))
+    t = materialize(t.withColumn("level", level), "mix-levels")
+    first = t.filter(F.col("level") * F.col("weight") <= F.col("limit")).agg(F.min(F.struct("reached", "level")).alias("fits")).select(F.col("fits.level").alias("fit"))
+    target = F.least(F.col("limit"), F.coalesce(F.col("fit") * F.col("weight"), F.col("limit")))
+    return t.join(F.broadcast(first)).select("source", "source_size", "weight", target.alias("target"))  # one row
+
+
+def thresholds(sized: DataFrame, plan: DataFrame, cap: float = 2.0) -> DataFrame:
+    """``plan`` with ``copies`` and the thresholds ``under1`` and ``under2``.
+
+    A document counts once more if the 60 leading bits of its two hashes, one after the
+    other, are below the thresholds. ``sized`` has (source, size, h1, h2). One histogram per
+    level; below the first, only of each source's boundary bucket.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("copies", whole).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("under", F.lit(0).cast("long"))
-    plan = materialize(plan, "mix-plan")
-    for level in range(LEVELS):
-        inside = F.shiftrightunsigned("hash", 64 - level * LEVEL_BITS) == F.col("under") if level else F.lit(True)
-        open_ = F.broadcast(plan.select(F.col("source").alias("s"), "under"))
+    zero = F.lit(0).cast("long")
+    plan = plan.withColumn("copies", whole).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("under1", zero).withColumn("under2", zero)
+    # Without words left to take nobody is below the threshold.
+    plan = materialize(plan.withColumn("open", (F.col("left") > 0) & (F.col("copies") < F.lit(cap))), "mix-plan")
+    for level in range(2 * LEVELS):
+        before = level % LEVELS
+        inside = F.shiftrightunsigned("h1" if level < LEVELS else "h2", 64 - before * LEVEL_BITS) == F.col("under1" if level < LEVELS else "under2") if before else F.lit(True)
+        if level >= LEVELS:
+            inside = inside & (_leading("h1") == F.col("under1"))
+        open_ = broadcast_if_small(plan.filter("open").select(F.col("source").alias("s"), "under1", "under2"), BROADCAST_SOURCES)
         counted = (
             sized.join(open_, F.col("source").eqNullSafe(F.col("s")))
             .filter(inside)
             .groupBy("source", _bucket(level).alias("bucket"))
-            .agg(F.sum("size").alias("words"))
+            .agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
             .withColumn("sum", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-            .select(F.col("source").alias("s"), "bucket", "sum", "words")
+            .select(F.col("source").alias("s"), "bucket", "sum", "words", "rows")
         )
+        counted = counted.join(broadcast_if_small(plan.select("source", "left"), BROADCAST_SOURCES), F.col("s").eqNullSafe(F.col("source")))
         # The boundary is the first bucket that goes beyond what is left.
-        cut = (
-            counted.join(F.broadcast(plan.select("source", "left")), F.col("s").eqNullSafe(F.col("source")))
-            .filter(F.col("sum") > F.col("left"))
-            .groupBy("s")
-            .agg(F.min(F.struct("bucket", (F.col("sum") - F.col("words")).alias("before"), "words")).alias("cut"))
-        )
+        cut = counted.filter(F.col("sum") > F.col("left")).groupBy("s").agg(F.min(F.struct("bucket", (F.col("sum") - F.col("words")).alias("before"), "words", "rows")).alias("cut"))
         last = F.lit((1 << LEVEL_BITS) - 1)
+        alone = F.coalesce(F.col("cut.rows") == 1, F.lit(False)) | F.lit(level == 2 * LEVELS - 1)
         # At the end the boundary bucket itself is taken where that comes nearer.
-        nearer = (F.col("left") - F.col("cut.before")) * 2 > F.col("cut.words")
-        bucket = F.col("cut.bucket") + F.when(F.lit(level == LEVELS - 1) & nearer, 1).otherwise(0)
-        plan = materialize(
-            plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-                *[c for c in plan.columns if c not in ("left", "under")],
-                (F.col("left") - F.coalesce("cut.before", F.lit(0))).alias("left"),
-                (F.shiftleft("under", LEVEL_BITS) + F.coalesce(bucket, last)).alias("under"),
-            ),
-            "mix-plan",
+        nearer = alone & F.coalesce((F.col("left") - F.col("cut.before")) * 2 > F.col("cut.words"), F.lit(False))
+        here = F.coalesce("cut.bucket", last) + F.when(nearer, 1).otherwise(0)
+        # A source that is done fills its bits down to the last of this hash.
+        rest = (LEVELS - 1 - before) * LEVEL_BITS
+        bits = lambda c: F.when(F.col("open"), F.when(alone, F.shiftleft(F.shiftleft(c, LEVEL_BITS) + here, rest)).otherwise(F.shiftleft(c, LEVEL_BITS) + here)).otherwise(F.col(c))  # noqa: B023, E731
+        kept = [c for c in plan.columns if c not in ("left", "under1", "under2", "open")]
+        after = plan.join(broadcast_if_small(cut, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")), "left").select(
+            *kept,
+            (F.col("left") - F.when(F.col("open"), F.coalesce("cut.before", F.lit(0))).otherwise(0)).alias("left"),
+            (bits("under1") if level < LEVELS else F.col("under1")).alias("under1"),
+            (bits("under2") if level >= LEVELS else F.col("under2")).alias("under2"),
+            (F.col("open") & ~alone).alias("open"),
         )
-    return plan
+        plan = materialize(after, "mix-plan")
+        if plan.filter("open").isEmpty():
+            break
+    return plan.drop("open")
 
 
-def _sized(docs: DataFrame, id_col: str, source: str, text: str) -> dict:
-    return {"__source": F.col(source), "size": n_words(F.col(text)), "hash": F.xxhash64(F.lit("mix"), F.col(id_col))}
+def measured(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", uid: str = "__uid") -> dict[str, Column]:
+    """``source``, ``size`` and both hashes of stored rows numbered by ``uid``."""
+    return {"source": F.col(source), "size": n_words(F.col(text)), "h1": F.xxhash64(F.lit("mix"), F.col(id_col)), "h2": F.xxhash64(F.lit("row"), F.col(uid))}
 
 
-def plan_for(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``(source, source_size, weight, target, copies, left, under)`` of every source."""
-    made = _sized(docs, id_col, source, text)
-    sized = materialize(docs.select(made["__source"].alias("source"), made["size"].alias("size"), made["hash"].alias("hash")), "mix-sizes")
+def plan_for(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``(source, source_size, weight, target, copies, left, under1, under2)`` of every source of a stored ``sized``."""
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    return thresholds(sized, materialize(targets(sizes, weights, share, cap), "mix-targets"))
+    return thresholds(sized, materialize(targets(sizes, weights, share, cap), "mix-targets"), cap)
+
+
+def copies() -> Column:
+    """How often a row with its source's ``plan`` and its hashes ``h1`` and ``h2`` is taken."""
+    below = (_leading("h1") < F.col("plan.under1")) | ((_leading("h1") == F.col("plan.under1")) & (_leading("h2") < F.col("plan.under2")))
+    return F.col("plan.copies") + F.when(below, 1).otherwise(0)
+
+
+def planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with source, h1, h2 among their columns) with the struct ``plan`` and ``copies``."""
+    plan = broadcast_if_small(plan.select(F.struct(*plan.columns).alias("plan")), BROADCAST_SOURCES)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan.source")), "left").withColumn("copies", copies())
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``mix``: a struct of size, source_size, target and copies."""
-    made = _sized(docs, id_col, source, text)
-    plan = plan.select(F.struct(*plan.columns).alias("plan"))
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    once_more = F.shiftrightunsigned(made["hash"], 64 - LEVELS * LEVEL_BITS) < F.col("plan.under")
-    copies = F.col("plan.copies") + F.when(once_more, 1).otherwise(0)
-    joined = docs.join(plan, made["__source"].eqNullSafe(F.col("plan.source")), "left")
-    return joined.select(docs["*"], F.struct(made["size"].alias("size"), "plan.source_size", "plan.target", copies.alias("copies")).alias("mix"))
+def taken(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    rows = numbered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "mix-docs", "__uid", compression="zstd")
+    made = measured(rows, f"row.{id_col}", f"row.{source}", f"row.{text}")
+    sized = materialize(rows.select(*[c.alias(name) for name, c in made.items()]), "mix-sizes")
+    hashed = rows.select("row", *[made[name].alias(name) for name in ("source", "h1", "h2")])
+    placed = planned(hashed, plan_for(sized, **options)).filter("copies > 0")
+    return placed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``(id, size, source_size, target, taken)`` of every row; ``taken`` is ``size`` times its copies."""
-    placed = with_copies(docs.select(id_col, source, text), plan_for(docs, id_col, source, text, **options), id_col, source, text)
-    return placed.select(id_col, "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    rows = numbered(rows, "mix-sizes", "__uid")
+    sized = rows.select("id", "source", "size", F.xxhash64(F.lit("mix"), "id").alias("h1"), F.xxhash64(F.lit("row"), "__uid").alias("h2"))
+    placed = planned(sized, plan_for(sized, **options))
+    return placed.select(F.col("id").alias(id_col), "size", "plan.source_size", "plan.target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
