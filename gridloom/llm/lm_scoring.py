@@ -8,16 +8,24 @@ predicts it; a byte not seen there pays the escape probability ``d / (T + d)``
 a byte shorter, where all symbols of the longer one are excluded. Below the empty
 context the symbols left are equally likely. The end of a text is a symbol too.
 
-Counts are partial sums per task, then a ``groupBy``. What each task needs of the
-model is bounded: the trie goes out in shards of ``shard_nodes`` nodes on average
-(by the last two bytes of the context; one shard while the trie is smaller than
-that, else one pass over the texts for each), and of the words only those with a
-share of 1 / ``frequent`` of the training words, so ``frequent`` at most. Other words
-are joined to the word counts by a shuffle.
+Nothing of the model but its frequent entries goes to every task, and texts are read
+a fixed number of times whatever the model's size:
+
+* Counts are partial sums per task, then a ``groupBy``.
+* Texts are packed into stored blocks of ``BLOCK_BYTES`` (and one text more), and each
+  block names the distinct words and (context, byte) pairs it needs. A name occurs once a
+  block at most, so frequent ones are no skew.
+* These names are joined to the model by shuffles and come back to their block, so a
+  task holds one block and its own entries. Pairs that training never saw take their
+  escapes by one join a level; only the two shortest levels (257 contexts at most) are
+  broadcast.
+* Entries with a share of 1 / ``frequent`` or more, so ``frequent`` at most, are broadcast
+  and need no join.
 
 Null texts count as empty: one end token and the end symbol. With no training
 text every byte has probability 1/256. A null id counts as the text ''. Rows with
-the same id are scored each on its own.
+the same id, and equal rows, are scored each on their own. Words are told apart by 63 bits
+of a hash.
 """
 
 from __future__ import annotations
@@ -27,20 +35,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.words import Counts, HashTable, chunks, hashes, spans
-from gridloom.operators.tables import materialize
+from gridloom.operators.tables import discard, materialize
 
 ORDER = 5
 END = 0xFF
-END_WORD = np.uint64(0x5BD1E995C2B2AE35)
+#: Keys of words have the highest bit, keys of (context, byte) pairs have not.
+WORD = np.uint64(1 << 63)
+END_WORD = np.uint64(0x5BD1E995C2B2AE35) | WORD
 SYMBOLS = 256
 FREQUENT = 1_000_000
-SHARD_NODES = 8_000_000
-WORD, GRAM = 0, 1
+BLOCK_BYTES = 1 << 25
+#: What a task looks at or sends together: bytes of text, keys before equal ones are merged, keys in a batch.
+CHUNK_BYTES, HELD_KEYS, SENT_KEYS = 1 << 19, 1 << 20, 1 << 16
 
 
 def stream(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,212 +82,246 @@ def real(starts: np.ndarray, total: int, order: int) -> np.ndarray:
     return keep
 
 
+def keys_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys, each text's first word, (context, byte) keys, which of them are real, each text's first of them."""
+    starts, ends, first = spans(data, offsets)
+    padded, at = stream(data, offsets, order)
+    return hashes(data, starts, ends) | WORD, first, grams(padded, order), real(at, len(padded), order), at
+
+
+def _sent(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(next(iter(columns.values()))), SENT_KEYS):
+        yield pa.record_batch({name: pa.array(values[lo : lo + SENT_KEYS]) for name, values in columns.items()})
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {WORD: Counts(), GRAM: Counts()}
+        found = Counts(HELD_KEYS)
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, n = found[kind].drain()
-            return pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = found.drain()
+            yield from _sent(key=keys.view(np.int64), n=n.astype(np.int64))
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                starts, ends, _ = spans(data, offsets)
-                found[WORD].add(np.r_[hashes(data, starts, ends), np.full(len(offsets) - 1, END_WORD)])
-                padded, at = stream(data, offsets, order)
-                found[GRAM].add(grams(padded, order)[real(at, len(padded), order)])
-                yield from (out(kind) for kind in found if found[kind].full())
-        yield from (out(kind) for kind in found)
+            for _, _, data, offsets in chunks(batch.column(0), CHUNK_BYTES):
+                words, _, pairs, keep, _ = keys_of(data, offsets, order)
+                found.add(np.r_[words, np.full(len(offsets) - 1, END_WORD)])
+                found.add(pairs[keep])
+                if found.full():
+                    yield from out()
+        yield from out()
 
     return run
 
 
 @dataclass
 class Model:
-    """Tables of a fitted model; ``nodes`` is the trie's size."""
+    """Tables of a fitted model.
+
+    ``words`` has (key, n). ``contexts`` has (k, context, total, kinds, below, symbols): for a
+    context of ``k`` bytes its symbols with their counts (257 at most), the sums of both,
+    and how often its symbols were counted after the context a byte shorter.
+    """
 
     order: int
     words: DataFrame
-    trie: DataFrame
     contexts: DataFrame
     total: int
     distinct: int
-    nodes: int
+    pairs: int
 
 
 def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """Count the words and the byte contexts of all ``texts``; ``order`` from 1 to 6."""
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6")
-    counts = materialize(
-        texts.select(F.col(text).alias("text")).mapInArrow(_count(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts"
-    )
-    words = counts.filter(F.col("kind") == WORD).select("key", "n")
+    counts = texts.select(F.col(text).cast("string").alias("text")).mapInArrow(_count(order), "key long, n long")
+    counts = materialize(counts.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
+    words, pairs = counts.filter("key < 0"), counts.filter("key >= 0")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(order + 1)]))
-    trie = counts.filter(F.col("kind") == GRAM).select("n", levels.alias("at")).groupBy("at.k", "at.gram").agg(F.sum("n").alias("c"))
-    trie = materialize(trie, "ppm-trie")
-    shorter = trie.select((F.col("k") + 1).alias("k"), F.col("gram").alias("tail"), F.col("c").alias("below"))
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("pair")) for k in range(order + 1)]))
+    trie = materialize(pairs.select("n", levels.alias("at")).groupBy("at.k", "at.pair").agg(F.sum("n").alias("c")), "ppm-trie")
+    shorter = trie.select((F.col("k") + 1).alias("k"), F.col("pair").alias("tail"), F.col("c").alias("below"))
     tail = F.when(F.col("k") == 0, F.lit(-1).cast("long"))
     for k in range(1, order + 1):
-        tail = tail.when(F.col("k") == k, F.col("gram").bitwiseAND((1 << 8 * k) - 1))
+        tail = tail.when(F.col("k") == k, F.col("pair").bitwiseAND((1 << 8 * k) - 1))
     contexts = (
         trie.withColumn("tail", tail)
         .join(shorter, ["k", "tail"], "left")
-        .groupBy("k", F.shiftright("gram", 8).alias("context"))
-        .agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("below"), F.lit(0)).alias("below"))
+        .groupBy("k", F.shiftright("pair", 8).alias("context"))
+        .agg(
+            F.sum("c").alias("total"),
+            F.count("*").alias("kinds"),
+            F.coalesce(F.sum("below"), F.lit(0)).alias("below"),
+            F.collect_list(F.struct(F.col("pair").bitwiseAND(0xFF).cast("int").alias("symbol"), F.col("c").alias("n"))).alias("symbols"),
+        )
     )
-    return Model(order, words, trie, materialize(contexts, "ppm-contexts"), sums["n"], sums["v"], trie.count())
+    contexts = materialize(contexts, "ppm-contexts")
+    seen = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    discard(trie)
+    return Model(order, words, contexts, sums["n"], sums["v"], seen)
+
+
+def seen_pairs(model: Model) -> DataFrame:
+    """``(key, n, value)`` of the pairs of the longest contexts: their count and log10 probability."""
+    each = model.contexts.filter(F.col("k") == model.order).select("context", (F.col("total") + F.col("kinds")).alias("all"), F.explode("symbols").alias("s"))
+    return each.select(F.shiftleft("context", 8).bitwiseOR(F.col("s.symbol").cast("long")).alias("key"), F.col("s.n").alias("n"), (F.log10("s.n") - F.log10("all")).alias("value"))
+
+
+def new_pairs(model: Model, keys: DataFrame) -> DataFrame:
+    """``(key, value)``: the log10 probability of pairs that the longest contexts don't have, by their escapes."""
+    zero = F.lit(0).cast("long")
+    q = keys.select("key", F.lit(0.0).alias("value"), zero.alias("gone_kinds"), zero.alias("gone"), F.lit(False).alias("found"))
+    for k in range(model.order, -1, -1):
+        level = model.contexts.filter(F.col("k") == k).select(F.col("context").alias("at"), "total", "kinds", "below", F.map_from_entries("symbols").alias("symbols"))
+        # Levels 0 and 1 have 257 contexts at most.
+        level = F.broadcast(level) if k < 2 else level
+        q = q.join(level, F.shiftright("key", 8).bitwiseAND((1 << 8 * k) - 1) == F.col("at"), "left")
+        known, n = F.col("at").isNotNull(), F.col("symbols")[F.col("key").bitwiseAND(0xFF).cast("int")]
+        left = F.coalesce("kinds", zero) - F.col("gone_kinds")
+        have = F.coalesce("total", zero) - F.col("gone") + left
+        step = F.when(n.isNotNull(), F.log10(n / have)).when(known & (left > 0), F.log10(left / have)).otherwise(0.0)
+        q = q.select(
+            "key",
+            F.when(F.col("found"), F.col("value")).otherwise(F.col("value") + step).alias("value"),
+            F.coalesce("kinds", "gone_kinds").alias("gone_kinds"),
+            F.coalesce("below", "gone").alias("gone"),
+            (F.col("found") | n.isNotNull()).alias("found"),
+        )
+    return q.select("key", F.when(F.col("found"), F.col("value")).otherwise(F.col("value") - F.log10(F.lit(SYMBOLS) - F.col("gone_kinds"))).alias("value"))
+
+
+def _packed(size: int):
+    """Rows (kept, text) as rows (block, rows): compressed Arrow tables of ``CHUNK_BYTES`` of text, ``size`` of it a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 64)
+            a = 0
+            while a < len(batch):
+                before = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch.slice(a, b - a))
+                yield pa.record_batch({"block": pa.array([task + filled // size], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                filled += int(ends[b - 1]) - before
+                a = b
+
+    return run
+
+
+def _unpacked(rows: pa.BinaryScalar) -> tuple[pa.Array, pa.Array]:
+    """The columns (kept, text) of a part of a block."""
+    part = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+    return part.column(0), part.column(1)
 
 
-_loaded: dict[int, tuple] = {}
+def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.unique(np.concatenate(parts))] if parts else []
 
 
-def _tables(shared) -> tuple:
-    """Search structures over the broadcast arrays, built once in each worker."""
-    key = shared.value["id"]
-    if key not in _loaded:
-        v = shared.value
+_loaded: dict[str, tuple[HashTable, np.ndarray]] = {}
+
+
+def _frequent(shared) -> tuple[HashTable, np.ndarray]:
+    """The broadcast entries as a table, built once in each worker."""
+    v = shared.value
+    if v["id"] not in _loaded:
         _loaded.clear()
-        levels = []
-        for grams_, counts, contexts, total, kinds, below in v["levels"]:
-            levels.append((HashTable(grams_), counts, HashTable(contexts), total, kinds, below))
-        top = v["levels"][-1]
-        at = levels[-1][2].find(top[0] >> np.uint64(8))
-        sure = np.log10(top[1]) - np.log10((top[3] + top[4])[at]) if len(at) else np.zeros(0)
-        _loaded[key] = (levels, sure, HashTable(v["words"]), v["counts"])
-        v["levels"] = v["words"] = None  # the tables hold copies
-    return _loaded[key]
-
-
-def _log_probabilities(keys: np.ndarray, levels: list, sure: np.ndarray, order: int) -> np.ndarray:
-    """log10 of the probability of each packed (context, symbol)."""
-    row = levels[order][0].find(keys)
-    out = np.zeros(len(keys))
-    hit = row >= 0
-    out[hit] = sure[row[hit]]
-    todo = np.flatnonzero(~hit)
-    # What the next longer context has: symbols to exclude, and their count here.
-    gone_kinds, gone_count = np.zeros(len(todo)), np.zeros(len(todo))
-    for k in range(order, -1, -1):
-        if not len(todo):
-            break
-        table, counts, contexts, total, kinds, below = levels[k]
-        gram = keys[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-        row, at = table.find(gram), contexts.find(gram >> np.uint64(8))
-        known = at >= 0
-        have = np.where(known, total[at] if len(total) else 0, 0) - gone_count
-        left = np.where(known, kinds[at] if len(kinds) else 0, 0) - gone_kinds
-        hit = row >= 0
-        out[todo[hit]] += np.log10(counts[row[hit]] / (have + left)[hit])
-        escapes = known & ~hit & (left > 0)
-        out[todo[escapes]] += np.log10(left[escapes] / (have + left)[escapes])
-        gone_kinds = np.where(known, kinds[at] if len(kinds) else 0, gone_kinds)[~hit]
-        gone_count = np.where(known, below[at] if len(below) else 0, 0)[~hit]
-        todo = todo[~hit]
-    out[todo] -= np.log10(SYMBOLS - gone_kinds)
-    return out
-
-
-def _score(shared, order: int, shard: int, shards: int, n_total: int, n_distinct: int, names: list[str]):
+        _loaded[v["id"]] = HashTable(v["keys"]), v["values"]
+        v["keys"] = None  # the table has a copy
+    return _loaded[v["id"]]
+
+
+def _needs(shared, order: int):
+    """``(block, key)``: the distinct keys of each block that are not frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, sure, frequent, counts = _tables(shared)
-        base = np.log10(n_total + 0.5 * (n_distinct + 1))
-        task, seen = TaskContext.get().partitionId(), 0
+        table, _ = _frequent(shared)
+        block, parts, held = None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for keys in _merged(parts):
+                yield from _sent(block=np.full(len(keys), block, np.int64), key=keys.view(np.int64))
+
         for batch in batches:
-            score, n_tokens, known, base_sum = np.zeros(len(batch)), np.ones(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            rest, rest_at = [], np.zeros(len(batch) + 1, np.int64)
-            for lo, hi, data, offsets in chunks(batch.column(batch.num_columns - 1)):
-                padded, at = stream(data, offsets, order)
-                keys = grams(padded, order)
-                keep = real(at, len(padded), order)
-                if shards > 1:
-                    keep &= ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards) == shard
-                logs = np.zeros(len(keys))
-                logs[keep] = _log_probabilities(keys[keep], levels, sure, order)
+            for of, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if of != block:
+                    yield from out()
+                    block, parts, held = of, [], 0
+                for _, _, data, offsets in chunks(_unpacked(rows)[1], CHUNK_BYTES):
+                    words, _, pairs, keep, _ = keys_of(data, offsets, order)
+                    keys = np.unique(np.r_[words, pairs[keep]])
+                    parts.append(keys[table.find(keys) < 0])
+                    held += len(parts[-1])
+                if held > HELD_KEYS:
+                    parts, held = _merged(parts), 0
+        yield from out()
+
+    return run
+
+
+def _score(shared, order: int, total: int, distinct: int):
+    """Scores of a block's rows from its own entries and the frequent ones."""
+
+    def run(block: pa.Table, needed: pa.Table) -> pa.Table:
+        frequent, frequent_values = _frequent(shared)
+        keys, at = np.unique(needed.column("key").to_numpy().view(np.uint64), return_index=True)
+        own, own_values = HashTable(keys), needed.column("value").to_numpy()[at]
+
+        def find(keys: np.ndarray) -> np.ndarray:
+            row = frequent.find(keys)
+            out, miss = np.zeros(len(keys)), np.flatnonzero(row < 0)
+            hit = np.flatnonzero(row >= 0)
+            out[hit] = frequent_values[row[hit]]
+            row = own.find(keys[miss])
+            out[miss[row >= 0]] = own_values[row[row >= 0]]
+            return out
+
+        base = np.log10(total + 0.5 * (distinct + 1))
+        tables = []
+        for kept, texts in map(_unpacked, block.column("rows")):
+            score, n_tokens, known, base_score = (np.zeros(len(texts), t) for t in (float, np.int64, np.int64, float))
+            for lo, hi, data, offsets in chunks(texts, CHUNK_BYTES):
+                words, first, pairs, keep, at = keys_of(data, offsets, order)
+                logs = np.zeros(len(pairs))
+                logs[keep] = find(pairs[keep])
                 score[lo:hi] = np.add.reduceat(logs, at)
-                if shard:
-                    continue
-                starts, ends, first = spans(data, offsets)
-                h = hashes(data, starts, ends)
-                row = frequent.find(h)
-                hit = row >= 0
-                logs = np.zeros(len(h) + 1)
-                logs[:-1][hit] = np.log10(counts[row[hit]] + 0.5) - base
-                hits = np.r_[0, np.cumsum(hit)]
-                end = frequent.find(np.array([END_WORD]))[0]
+                n = find(np.r_[words, END_WORD])
                 n_tokens[lo:hi] = np.diff(first) + 1
-                known[lo:hi] = np.diff(hits[first]) + (end >= 0)
-                sums = np.r_[0.0, np.cumsum(logs[:-1])]
-                base_sum[lo:hi] = np.diff(sums[first]) + np.log10((counts[end] if end >= 0 else 0) + 0.5) - base
-                misses = np.r_[0, np.cumsum(~hit)]
-                rest.append(h[~hit])
-                rest_at[lo + 1 : hi + 1] = rest_at[lo] + misses[first[1:]]
-            uid = (np.int64(task) << 33) + seen + np.arange(len(batch))
-            seen += len(batch)
-            made = {
-                "uid": pa.array(uid),
-                "n_tokens": pa.array(n_tokens),
-                "known": pa.array(known),
-                "base": pa.array(base_sum),
-                "rest": pa.ListArray.from_arrays(pa.array(rest_at.astype(np.int32)), pa.array((np.concatenate(rest) if rest else np.zeros(0, np.uint64)).view(np.int64))),
-                "score": pa.array(score),
-            }
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], [*names, *made])
+                known[lo:hi] = np.diff(np.r_[0, np.cumsum(n[:-1] > 0)][first]) + (n[-1] > 0)
+                logs = np.log10(n + 0.5) - base
+                base_score[lo:hi] = np.diff(np.r_[0.0, np.cumsum(logs[:-1])][first]) + logs[-1]
+            made = {"n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(len(texts), total, np.int64), "base_score": base_score, "score": score}
+            tables.append(pa.table({"kept": kept, **{name: pa.array(values) for name, values in made.items()}}))
+        return pa.concat_tables(tables).combine_chunks()
 
     return run
 
 
-def _arrays(spark: SparkSession, model: Model, shard: int, shards: int, frequent: int) -> dict:
-    """What tasks need of one shard; its size is bounded by ``fit``'s figures and ``frequent``."""
-    mine = lambda context: (F.col("k") < 2) | (F.pmod(context.bitwiseAND(0xFFFF), F.lit(shards)) == shard)
-    trie, contexts = model.trie, model.contexts
-    if shards > 1:
-        trie, contexts = trie.filter(mine(F.shiftright("gram", 8))), contexts.filter(mine(F.col("context")))
-    g, c = trie.toArrow(), contexts.toArrow()
-    def column(table: pa.Table, name: str, of: type | None = None) -> np.ndarray:
-        values = table.column(name).to_numpy()
-        return values.astype(of or (np.int32 if values.max(initial=0) < 1 << 31 else np.int64))
-
-    gk, ck = column(g, "k", np.int32), column(c, "k", np.int32)
-    levels = []
-    for k in range(model.order + 1):
-        a, b = gk == k, ck == k
-        levels.append((column(g, "gram", np.uint64)[a], column(g, "c")[a], column(c, "context", np.uint64)[b], column(c, "total")[b], column(c, "kinds")[b], column(c, "below")[b]))
-    w = (model.words if shard == 0 else model.words.limit(0)).filter((F.col("n") * frequent >= model.total) | (F.col("key") == int(END_WORD.view(np.int64)))).toArrow()
-    return {"id": f"{id(model)}-{model.nodes}-{shard}-{np.random.default_rng().integers(1 << 62)}", "levels": levels, "words": w.column("key").to_numpy().view(np.uint64), "counts": column(w, "n")}
-
-
-def score(model: Model, docs: DataFrame, keep: list[str], text: str = "text", shard_nodes: int = SHARD_NODES, frequent: int = FREQUENT) -> DataFrame:
-    """``keep`` columns, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", uid long, n_tokens long, known long, base double, rest array<bigint>, score double"
-    schema = schema.removeprefix(", ")
-    shards = -(-model.nodes // shard_nodes) or 1
-    parts = []
-    for shard in range(shards):
-        shared = spark.sparkContext.broadcast(_arrays(spark, model, shard, shards, frequent))
-        parts.append(materialize(rows.mapInArrow(_score(shared, model.order, shard, shards, model.total, model.distinct, list(keep)), schema), "ppm-scored"))
-        shared.unpersist()
-    scored = parts[0]
-    for other in parts[1:]:
-        scored = scored.join(other.select("uid", F.col("score").alias("more")), "uid").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    log = lambda c: F.log10(c + 0.5) - F.lit(float(np.log10(model.total + 0.5 * (model.distinct + 1))))
-    rare = (
-        scored.select("uid", F.explode("rest").alias("key"))
-        .join(model.words.filter(F.col("n") * frequent < model.total), "key", "left")
-        .groupBy("uid")
-        .agg(F.count("n").alias("rare_known"), F.sum(log(F.coalesce("n", F.lit(0)))).alias("rare_base"))
-    )
-    return scored.join(rare, "uid", "left").select(
-        *[F.col(c) for c in keep],
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+def score(model: Model, docs: DataFrame, keep: list[str], text: str = "text", frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` columns (one at least), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``."""
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).cast("string").alias("text"))
+    blocks = materialize(rows.mapInArrow(_packed(block_bytes), "block long, rows binary"), "ppm-blocks")
+    seen = seen_pairs(model)
+    top = (
+        model.words.filter((F.col("n") * frequent >= model.total) | (F.col("key") == int(END_WORD.view(np.int64))))
+        .select("key", F.col("n").cast("double").alias("value"))
+        .unionByName(seen.filter(F.col("n") * frequent >= model.pairs).select("key", "value"))
+        .toArrow()
     )
+    label = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
+    shared = docs.sparkSession.sparkContext.broadcast({"id": label, "keys": top.column("key").to_numpy().view(np.uint64), "values": top.column("value").to_numpy()})
+    needs = materialize(blocks.mapInArrow(_needs(shared, model.order), "block long, key long"), "ppm-needs", compression="zstd")
+    new = new_pairs(model, needs.filter("key >= 0").select("key").join(seen.select("key"), "key", "left_anti").distinct())
+    values = model.words.select("key", F.col("n").cast("double").alias("value")).unionByName(seen.select("key", "value")).unionByName(new)
+    found = needs.join(values, "key").select("block", "key", "value")
+    kept = rows.schema["kept"].dataType.simpleString()
+    scored = blocks.groupBy("block").cogroup(found.groupBy("block"))
+    scored = scored.applyInArrow(_score(shared, model.order, model.total, model.distinct), f"kept {kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select("kept.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
