@@ -8,12 +8,16 @@ the item, is a diagonal (document, item, shift); intersecting the lists of a win
 rarest words means finding both on one diagonal. Only there the whole window is compared
 with the text, so common words are never looked up.
 
+Texts are cut into words once: ``tokens`` stores each row's words under a number of its own,
+and counts, postings and comparisons read that table.
+
 What is broadcast grows with the benchmark and is counted first; a benchmark over
-``BROADCAST_ROWS`` is joined by shuffles.
+``BROADCAST_ROWS`` is joined by shuffles. A frequent word is looked up only where an item
+has no rarer one, as in an item of one word; its postings are as many as its occurrences.
 
 Null and empty texts and items have no words and match nothing. Items with the same id
-count as one id; rows with the same document id share their hits. A window that
-several items have counts for each of them.
+count as one id; rows with the same id, or none, and equal rows have each their own hits.
+A window that several items have counts for each of them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,20 +26,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.line_dedup import lower_ascii
-from gridloom.operators.tables import broadcast_if_small, materialize
+from gridloom.operators.tables import broadcast_if_small, materialize, numbered
 
 WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
+SLACK = 10
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
+def text_digest(text: Column) -> list[Column]:
+    """Two hashes of a text, which tell it from all others."""
+    return [F.xxhash64(text.cast("string")).alias("t1"), F.xxhash64(F.lit("second"), text.cast("string")).alias("t2")]
 
 
 def item_words(benchmark: DataFrame, item_col: str, text: str) -> DataFrame:
@@ -60,16 +65,17 @@ class Index:
     """Positions in ``docs`` of the words that decide about the items' windows."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", width: int = WIDTH):
-        self.docs = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+        rows = docs.select(F.col(id_col).alias("id"), *text_digest(F.col(text)), words(F.col(text)).alias("words"))
+        self.tokens = numbered(rows.select("id", "t1", "t2", F.size("words").cast("long").alias("n_words"), "words"), "index-tokens", "doc", compression="zstd")
         self.items = materialize(item_words(benchmark, item_col, "text"), "index-items")
-        occurrences = self.docs.select("doc", F.posexplode(words(F.col("text"))).alias("at", "term"))
-        vocabulary = self.items.select(F.explode("words").alias("term")).distinct()
-        counts = occurrences.join(broadcast_if_small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("n"))
+        vocabulary = broadcast_if_small(self.items.select(F.explode("words").alias("term")).distinct(), BROADCAST_ROWS)
+        counts = self.tokens.select(F.explode("words").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
         self.windows = materialize(rarest(self.items, materialize(counts, "index-counts"), width), "index-windows")
         places = self.windows.select("item", F.explode(F.array_distinct(F.array("first", "second"))).alias("place")).distinct()
         self.places = materialize(places.join(self.items, "item").select("item", "place", F.get("words", F.col("place")).alias("term")), "index-places")
-        terms = self.places.select("term").distinct()
-        self.postings = materialize(occurrences.join(broadcast_if_small(terms, BROADCAST_ROWS), "term").select("term", "doc", "at"), "index-postings")
+        terms = broadcast_if_small(self.places.select("term").distinct(), BROADCAST_ROWS)
+        occurrences = self.tokens.select("doc", F.posexplode("words").alias("at", "term"))
+        self.postings = materialize(occurrences.join(terms, "term").select("term", "doc", "at"), "index-postings")
 
     def diagonals(self) -> DataFrame:
         """``(doc, item, shift, starts)``: where both rarest words of the windows at ``starts`` are in place."""
@@ -83,7 +89,7 @@ class Index:
     def phrases(self) -> DataFrame:
         """``(doc, item_id, shift, windows)``: windows (start, size) that occur word by word at ``shift + start``."""
         found = materialize(self.diagonals(), "index-diagonals")
-        texts = self.docs.join(broadcast_if_small(found.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi").select("doc", words(F.col("text")).alias("text_words"))
+        texts = self.tokens.join(broadcast_if_small(found.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi").select("doc", F.col("words").alias("text_words"))
         both = found.join(broadcast_if_small(self.items, BROADCAST_ROWS // 10), "item").join(texts, "doc")
         same = F.filter(
             "windows",
@@ -92,7 +98,7 @@ class Index:
         matched = both.select("doc", "item_id", "shift", same.alias("windows")).filter(F.size("windows") > 0)
         return matched.withColumn("windows", F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"))))
 
-    def near(self, slack: int = 10) -> DataFrame:
+    def near(self, slack: int = SLACK) -> DataFrame:
         """``(doc, item_id, n_terms)``: proximity matches of an item, in any order.
 
         All the item's rarest words lie within its length and ``slack`` words of each other.
@@ -108,28 +114,33 @@ class Index:
         return spots.filter((F.col("n_terms") == F.col("wanted")) & F.exists("spots", lambda s: within(s) == F.col("wanted"))).groupBy("doc", "item_id").agg(F.max("n_terms").alias("n_terms"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", width: int = WIDTH) -> DataFrame:
-    """``(doc, n_hit, items)`` of the documents in which windows occur; ``items`` as sorted strings."""
-    matched = materialize(Index(docs, benchmark, id_col, text, item_col, width).phrases(), "index-phrases")
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", width: int = WIDTH, slack: int = SLACK) -> DataFrame:
+    """``(id, t1, t2, n_words, n_hit, items, near)`` of every row of ``docs``.
+
+    ``items`` have windows in the text and ``near`` all their rarest words close together; both
+    are sorted ids as strings. ``t1`` and ``t2`` are the text's digests.
+    """
+    index = Index(docs, benchmark, id_col, text, item_col, width)
+    matched = materialize(index.phrases(), "index-phrases")
     at = F.explode(F.flatten(F.transform("windows", lambda w: F.sequence(F.col("shift") + w["start"], F.col("shift") + w["start"] + w["size"] - 1))))
     hit = matched.select("doc", at.alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    items = matched.groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return hit.join(items, "doc")
+    ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    found = hit.join(matched.groupBy("doc").agg(ids.alias("items")), "doc").join(index.near(slack).groupBy("doc").agg(ids.alias("near")), "doc", "full_outer")
+    rows = index.tokens.select("doc", "id", "t1", "t2", "n_words").join(broadcast_if_small(materialize(found, "index-found"), BROADCAST_ROWS // 10), "doc", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("id", "t1", "t2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    counted = docs.select("doc_id", n_words(F.col("text")).alias("n_words"))
-    joined = counted.join(broadcast_if_small(found, BROADCAST_ROWS // 10), F.col("doc_id") == F.col("doc"), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        "doc_id",
+    rows = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join(items, ","), "UTF-8"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -149,8 +160,21 @@ runs AS (
   FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM dw, sizes WHERE len(w) >= size)),
 hits AS (SELECT doc_id, item_id, p, size FROM runs JOIN win USING (size, phrase)),
 n_hit AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + size - 1)) AS spot FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM hits GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM hits GROUP BY doc_id),
+counts AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM dw) GROUP BY term),
+places AS (SELECT item_id, w, s, unnest(generate_series(s, s + least(10, len(w)) - 1)) AS place
+  FROM (SELECT DISTINCT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s FROM bw WHERE len(w) > 0)),
+ranked AS (SELECT item_id, w, w[place] AS term, row_number() OVER win AS r, min(coalesce(n, 0)) OVER (PARTITION BY item_id, w, s) AS fewest
+  FROM places LEFT JOIN counts ON term = w[place] WINDOW win AS (PARTITION BY item_id, w, s ORDER BY coalesce(n, 0), w[place], place)),
+terms AS (SELECT DISTINCT item_id, w, term FROM ranked WHERE r <= 2 AND fewest > 0),
+wanted AS (SELECT item_id, w, count(*) AS wanted, len(w) + 10 AS span FROM terms GROUP BY item_id, w),
+spots AS (SELECT doc_id, item_id, terms.w, term, at FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM dw) JOIN terms USING (term)),
+close AS (SELECT a.doc_id, a.item_id FROM spots a JOIN wanted t ON a.item_id = t.item_id AND a.w = t.w
+  JOIN spots b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.w = b.w AND b.at >= a.at AND b.at < a.at + span
+  GROUP BY a.doc_id, a.item_id, a.w, a.at, wanted HAVING count(DISTINCT b.term) = wanted),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM close GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(items.list, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated
-FROM dw LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(items.list, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated,
+       coalesce(near.n, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
