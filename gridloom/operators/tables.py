@@ -32,11 +32,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
