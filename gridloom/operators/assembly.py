@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranges import running
+
 
 def union_candidates(sources: dict[str, DataFrame]) -> DataFrame:
     """All rows of ``sources`` by column name, with their ``origin``; columns that one lacks are null."""
@@ -55,9 +57,9 @@ def calibrate(rows: DataFrame, zone: str, item: str, population: str, evidence:
     ones 0, and remainders are compared exactly.
     """
     count = lambda c: F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0))
-    every = Window.partitionBy(zone)
     r = rows.select(zone, item, count(population).alias(population), count(evidence).alias("__e"))
-    r = r.withColumn("__people", F.sum(population).over(every)).withColumn("__all", F.sum("__e").over(every))
+    sums = r.groupBy(F.col(zone).alias("__zone")).agg(F.sum(population).alias("__people"), F.sum("__e").alias("__all"))
+    r = r.join(sums, F.col(zone).eqNullSafe(F.col("__zone"))).drop("__zone")
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     share = wide(population) * wide("__all") * (100 - percent) + wide("__e") * wide("__people") * percent
     whole = wide("__all") * 100
@@ -67,9 +69,9 @@ def calibrate(rows: DataFrame, zone: str, item: str, population: str, evidence:
     # A quotient rounded up to the next whole number would leave a negative remainder.
     r = r.withColumn("__base", F.when(F.col("__rest") < 0, F.col("__base") - 1).otherwise(F.col("__base")))
     r = r.withColumn("__rest", F.when(F.col("__rest") < 0, F.col("__rest") + whole).otherwise(F.col("__rest")))
-    place = F.row_number().over(every.orderBy(F.col("__rest").desc(), F.col(item)))
-    spare = F.col("__people") - F.sum("__base").over(every)
-    return r.select(zone, item, population, (F.col("__base") + F.when(place <= spare, 1).otherwise(0)).alias("calibrated"))
+    r = running(r, [zone], [F.col("__rest").desc(), F.col(item).asc()], {"__dealt": "__base"}, "__place")
+    spare = F.col("__people") - F.col("__dealt_all")
+    return r.select(zone, item, population, (F.col("__base") + F.when(F.col("__place") <= spare, 1).otherwise(0)).alias("calibrated"))
 
 
 def coverage(rows: DataFrame, group: str, signal: str, served: str, gross: str) -> DataFrame:

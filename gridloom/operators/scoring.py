@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranges import competition_rank, running
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -77,18 +79,40 @@ def composite(values: DataFrame, run: str, weights: dict[str, float], value: str
     return sums.select(run, F.when(F.col("n") == len(weights), F.col("score")).alias("score"))
 
 
-def competition_rank(score: Column, *partition: str) -> Column:
-    """1, 2, 2, 4, ... by falling score; null scores have no rank."""
-    w = Window.partitionBy(*partition).orderBy(score.desc_nulls_last())
-    return F.when(score.isNotNull(), F.rank().over(w))
+def metric_ranks(values: DataFrame, policies: list[Policy]) -> DataFrame:
+    """``values`` with ``rank`` within each metric: 1, 2, 2, 4, ... from the best raw value on.
+
+    Missing values, and metrics whose direction is a target, have no rank.
+    """
+    better = {p.metric: p.direction for p in policies}
+    raw, of = F.col("raw_value"), lambda d: F.col("metric_id").isin(*[m for m, x in better.items() if x == d])
+    keyed = values.withColumn("__key", F.when(of("higher"), -raw).when(of("lower"), raw))
+    return competition_rank(keyed, "__key", ["metric_id"], rising=True).drop("__key")
 
 
-def leave_one_out(values: DataFrame, run: str, weights: dict[str, float]) -> DataFrame:
-    """``(run, dropped, score, shift)``: the score without each metric, and its shift from the full score."""
-    full = composite(values, run, weights).withColumnRenamed("score", "full")
-    parts = None
-    for metric in sorted(weights):
-        rest = {k: w for k, w in weights.items() if k != metric}
-        one = composite(values, run, rest).select(run, F.lit(metric).alias("dropped"), "score")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.join(full, run).select(run, "dropped", "score", (F.col("score") - F.col("full")).alias("shift"))
+def sensitivity(values: DataFrame, run: str, weights: dict[str, float], perturbations: dict[str, dict[str, float]], digits: int = 9) -> DataFrame:
+    """``(perturbation, run, score, rank, score_delta, rank_delta)`` under changed weights.
+
+    Each perturbation multiplies every weight by its factor; ``baseline`` leaves them.
+    Runs rank 1, 2, 3, ... by falling score, then by run; ``rank_delta`` is the baseline's rank
+    less the new one. A run without a value that has weight has a null score and no rank.
+    """
+    every = {"baseline": dict.fromkeys(weights, 1.0), **perturbations}
+    if any(set(f) != set(weights) or min(f.values()) < 0 for f in every.values()):
+        raise ValueError("a perturbation needs one factor of 0 or more for each weight")
+    scores = []
+    for name, factors in every.items():
+        changed = {m: w * factors[m] for m, w in weights.items()}
+        total = sum(changed.values())
+        if total <= 0:
+            raise ValueError(f"no weight is left: {name}")
+        used = {m: w / total for m, w in changed.items() if w > 0}
+        share = F.create_map(*[x for m, w in used.items() for x in (F.lit(m), F.lit(w))])[F.col("metric_id")]
+        found = F.count(F.when(F.col("metric_id").isin(*used), F.col("normalized_value"))) == len(used)
+        scores.append(F.struct(F.lit(name).alias("perturbation"), F.round(F.when(found, F.sum(F.col("normalized_value") * share)), digits).alias("score")))
+    rows = values.groupBy(run).agg(*[s.alias(f"s{i}") for i, s in enumerate(scores)]).select(run, F.inline(F.array(*[f"s{i}" for i in range(len(scores))])))
+    ranked = running(rows, ["perturbation"], [F.col("score").desc_nulls_last(), F.col(run).asc()], {}, "rank")
+    ranked = ranked.select("perturbation", run, "score", F.when(F.col("score").isNotNull(), F.col("rank")).alias("rank"))
+    base = ranked.filter("perturbation = 'baseline'").select(F.col(run).alias("__run"), F.col("score").alias("__score"), F.col("rank").alias("__rank"))
+    both = ranked.join(base, F.col(run) == F.col("__run"))
+    return both.select("perturbation", run, "score", "rank", F.round(F.col("score") - F.col("__score"), digits).alias("score_delta"), (F.col("__rank") - F.col("rank")).alias("rank_delta"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.scoring import Policy, competition_rank, composite, leave_one_out, unpivot
+from gridloom.operators.ranges import competition_rank
+from gridloom.operators.scoring import Policy, composite, metric_ranks, sensitivity, unpivot
 from gridloom.plans.catalog import query, table
 
 POLICIES = [
@@ -34,7 +35,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_rank", f"WITH {RUNS_SQL}, s AS (SELECT l_suppkey, round((3 * revenue + quantity + 2 * discount) / 6, 6) AS score FROM norm) SELECT l_suppkey, score, rank() OVER (ORDER BY score DESC)::INTEGER AS rank FROM s")
 def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = composite(unpivot(runs(spark, sf_dir), "l_suppkey", POLICIES), "l_suppkey", WEIGHTS).withColumn("score", F.round("score", 6))
-    return scored.withColumn("rank", competition_rank(F.col("score")))
+    return competition_rank(scored, "score")
 
 
 @query("metric_values", f"WITH {RUNS_SQL} SELECT l_suppkey, metric_id, round(normalized_value, 6) AS normalized_value FROM (SELECT l_suppkey, 'revenue' AS metric_id, revenue AS normalized_value FROM norm UNION ALL SELECT l_suppkey, 'quantity', quantity FROM norm UNION ALL SELECT l_suppkey, 'discount', discount FROM norm)")
@@ -42,7 +43,25 @@ def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot(runs(spark, sf_dir), "l_suppkey", POLICIES).select("l_suppkey", "metric_id", F.round("normalized_value", 6).alias("normalized_value"))
 
 
-@query("score_sensitivity", f"WITH {RUNS_SQL}, s AS (SELECT *, (3 * revenue + quantity + 2 * discount) / 6 AS full_score FROM norm) SELECT l_suppkey, dropped, round(score, 6) AS score, round(score - full_score, 6) AS shift FROM (SELECT l_suppkey, 'revenue' AS dropped, (quantity + 2 * discount) / 3 AS score, full_score FROM s UNION ALL SELECT l_suppkey, 'quantity', (3 * revenue + 2 * discount) / 5, full_score FROM s UNION ALL SELECT l_suppkey, 'discount', (3 * revenue + quantity) / 4, full_score FROM s)")
+PERTURBATIONS = {
+    "no_revenue": {"revenue": 0.0, "quantity": 1.0, "discount": 1.0},
+    "more_discount": {"revenue": 1.0, "quantity": 1.0, "discount": 1.5},
+    "less_revenue": {"revenue": 0.8, "quantity": 1.0, "discount": 1.0},
+}
+
+
+@query("score_sensitivity", f"""
+WITH {RUNS_SQL}, p(perturbation, a, b, c) AS (VALUES ('baseline', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('no_revenue', 0, 1, 1), ('more_discount', 1, 1, 1.5), ('less_revenue', 0.8, 1, 1)),
+s AS (SELECT perturbation, l_suppkey, round((3 * a * revenue + b * quantity + 2 * c * discount) / (3 * a + b + 2 * c), 9) AS score FROM norm, p),
+r AS (SELECT *, row_number() OVER (PARTITION BY perturbation ORDER BY score DESC, l_suppkey) AS rank FROM s)
+SELECT r.perturbation, r.l_suppkey, r.score, r.rank::BIGINT AS rank, round(r.score - o.score, 9) AS score_delta, (o.rank - r.rank)::BIGINT AS rank_delta
+FROM r JOIN r o ON o.l_suppkey = r.l_suppkey AND o.perturbation = 'baseline'""")
 def score_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = leave_one_out(unpivot(runs(spark, sf_dir), "l_suppkey", POLICIES), "l_suppkey", WEIGHTS)
-    return out.select("l_suppkey", "dropped", F.round("score", 6).alias("score"), F.round("shift", 6).alias("shift"))
+    return sensitivity(unpivot(runs(spark, sf_dir), "l_suppkey", POLICIES), "l_suppkey", WEIGHTS, PERTURBATIONS)
+
+
+@query("metric_ranks", f"""
+WITH {RUNS_SQL}, v AS (SELECT l_suppkey, 'revenue' AS metric_id, -revenue AS k FROM runs UNION ALL SELECT l_suppkey, 'quantity', quantity FROM runs UNION ALL SELECT l_suppkey, 'discount', NULL FROM runs)
+SELECT l_suppkey, metric_id, CASE WHEN k IS NOT NULL THEN rank() OVER (PARTITION BY metric_id ORDER BY k) END::INTEGER AS rank FROM v""")
+def ranks_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_ranks(unpivot(runs(spark, sf_dir), "l_suppkey", POLICIES), POLICIES).select("l_suppkey", "metric_id", "rank")

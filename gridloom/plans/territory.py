@@ -40,13 +40,37 @@ def network_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(_roads(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-@query("network_pruned")
+def _pruned_sql(passes: int = 16) -> str:
+    """The passes one after the other, each on what the one before left."""
+    steps = ["e0 AS (SELECT s_suppkey * 4 + 2 AS edge, s_suppkey AS src, s_suppkey // 2 AS dst, (10 + floor(abs(s_acctbal))::BIGINT % 20 + 2)::DOUBLE AS length, (s_suppkey * 4 + 2) % 7 = 0 AS fixed FROM supplier)"]
+    for i in range(passes):
+        steps.append(f"d{i} AS MATERIALIZED (SELECT node FROM (SELECT src AS node FROM e{i} UNION ALL SELECT dst FROM e{i}) GROUP BY node HAVING count(*) = 1)")
+        steps.append(f"e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE NOT (length < 25 AND NOT fixed AND (src IN (SELECT node FROM d{i}) OR dst IN (SELECT node FROM d{i}))))")
+    return f"WITH {', '.join(steps)} SELECT edge, src, dst, length, fixed FROM e{passes}"
+
+
+@query("network_pruned", _pruned_sql())
 def network_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = _roads(spark, sf_dir, (2,))
     return network.prune_dangling(roads.withColumn("fixed", F.col("edge") % 7 == 0), 25.0)
 
 
-@query("greedy_placement")
+def _greedy_sql(capacity: int = 20_000, count: int = 8) -> str:
+    """The choices one after the other, each on the demand that the one before left."""
+    steps = [
+        "l0 AS (SELECT c_custkey AS demand, greatest(floor(c_acctbal), 0)::DOUBLE AS amount FROM customer)",
+        "pairs AS (SELECT s_suppkey AS candidate, c_custkey AS demand FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 0)",
+    ]
+    for i in range(1, count + 1):
+        chosen = "".join(f" AND candidate NOT IN (SELECT candidate FROM b{j})" for j in range(1, i))
+        steps.append(f"b{i} AS MATERIALIZED (SELECT candidate FROM pairs JOIN l{i - 1} USING (demand) WHERE amount > 0{chosen} GROUP BY candidate ORDER BY least(sum(amount), {capacity}) DESC, candidate LIMIT 1)")
+        before = "coalesce(sum(amount) OVER (ORDER BY demand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        steps.append(f"s{i} AS MATERIALIZED (SELECT {i} AS iteration, candidate, demand, least(amount, greatest(0, {capacity} - {before})) AS served FROM pairs JOIN b{i} USING (candidate) JOIN l{i - 1} USING (demand) WHERE amount > 0)")
+        steps.append(f"l{i} AS MATERIALIZED (SELECT demand, amount - coalesce(served, 0) AS amount FROM l{i - 1} LEFT JOIN s{i} USING (demand))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT iteration, candidate, demand, served::DOUBLE AS served FROM s{i} WHERE served > 0" for i in range(1, count + 1))
+
+
+@query("greedy_placement", _greedy_sql())
 def greedy_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     demands = c.select(F.col("c_custkey").alias("demand"), F.floor("c_acctbal").alias("amount"))

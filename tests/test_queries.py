@@ -34,7 +34,7 @@ def test_equals_sql(spark, name):
     assert len(rows) == len(expected) > 0
     for a, b in zip(rows, expected, strict=True):
         for x, y in zip(a, b, strict=True):
-            assert x == (pytest.approx(y, abs=2e-6, nan_ok=True) if isinstance(y, float) else y)
+            assert x == (pytest.approx(y, rel=1e-12, abs=1e-9, nan_ok=True) if isinstance(y, float) else y)
 
 
 def test_entry(spark):
