@@ -48,3 +48,31 @@ def covers(r: Column, x: Column, y: Column) -> Column:
 
     inside = F.aggregate(_sides(r, crossed), F.lit(False), lambda a, b: a != b)
     return inside | F.exists(_sides(r, on_side), lambda s: s)
+
+
+def clipped(r: Column, window: Column) -> Column:
+    """The part of a ring inside a convex ``window`` whose points go counter-clockwise; empty where they don't meet.
+
+    Exact for convex rings; a concave one may keep sides of no width along the window.
+    """
+
+    def cut(poly: Column, s: Column) -> Column:
+        away = lambda x, y: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+        point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+        def kept(px, py, qx, qy):
+            p, q = away(px, py), away(qx, qy)
+            t = F.try_divide(p, p - q)
+            meet = point(px + t * (qx - px), py + t * (qy - py))
+            none = F.array().cast("array<struct<x: double, y: double>>")
+            return F.when((p >= 0) & (q >= 0), F.array(point(qx, qy))).when(p >= 0, F.array(meet)).when(q >= 0, F.array(meet, point(qx, qy))).otherwise(none)
+
+        return F.flatten(_sides(poly, kept))
+
+    sides = _sides(window, lambda px, py, qx, qy: F.struct(px.alias("ax"), py.alias("ay"), qx.alias("bx"), qy.alias("by")))
+    return F.aggregate(sides, r, cut)
+
+
+def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A rectangle, counter-clockwise."""
+    return ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
