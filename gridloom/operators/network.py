@@ -33,17 +33,24 @@ def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: float) -
     return best.select("node", "distance", "origin")
 
 
-def raster_edges(cells: DataFrame, cell_size: float, weight: float) -> DataFrame:
-    """Edges between the four neighbours of cells ``(row, col, score)`` with scores in 0 to 1.
+def raster_edges(cells: DataFrame, cell_size: float, weight: float, diagonal: bool = False) -> DataFrame:
+    """Edges between neighbouring cells ``(row, col, score)`` with scores in 0 to 1.
 
     A step costs its length by the mean of ``1 + weight * (1 - score)`` of both cells. Cells
-    without a score cannot be entered. Nodes are ``row << 32 | col``.
+    without a score cannot be entered. With ``diagonal`` cells have eight neighbours instead of
+    four, and a diagonal step needs a score in both cells beside it. Nodes are ``row << 32 | col``.
     """
     c = cells.dropna(subset=["row", "col", "score"]).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), (1 + weight * (1 - F.col("score"))).alias("cost"))
-    node = lambda r, k: F.shiftleft(r, 32).bitwiseOR(k)
-    here = c.select(node(F.col("row"), F.col("col")).alias("dst"), F.col("cost").alias("cost2"))
-    sent = c.select(node(F.col("row"), F.col("col")).alias("src"), "cost", F.explode(F.array(node(F.col("row") + 1, F.col("col")), node(F.col("row"), F.col("col") + 1))).alias("dst"))
-    return sent.join(here, "dst").select("src", "dst", (F.lit(cell_size) * (F.col("cost") + F.col("cost2")) / 2).alias("length"))
+    node = lambda dr, dc: F.shiftleft(F.col("row") + dr, 32).bitwiseOR(F.col("col") + dc)
+    here = c.select(node(0, 0).alias("dst"), F.col("cost").alias("cost2"))
+    steps = [(1, 0), (0, 1), (1, 1), (1, -1)] if diagonal else [(1, 0), (0, 1)]
+    way = [F.struct(node(dr, dc).alias("dst"), F.lit(float((dr * dr + dc * dc) ** 0.5)).alias("steps"), (node(dr, 0) if dr and dc else F.lit(None).cast("long")).alias("left"), (node(0, dc) if dr and dc else F.lit(None).cast("long")).alias("right")) for dr, dc in steps]
+    sent = c.select(node(0, 0).alias("src"), "cost", F.inline(F.array(*way)))
+    open_ = here.select(F.col("dst").alias("cell"))
+    for side in ("left", "right") if diagonal else ():
+        straight, turned = sent.filter(F.col(side).isNull()), sent.filter(F.col(side).isNotNull())
+        sent = straight.unionByName(turned.join(open_, F.col(side) == F.col("cell"), "left_semi"))
+    return sent.join(here, "dst").select("src", "dst", (F.lit(cell_size) * F.col("steps") * (F.col("cost") + F.col("cost2")) / 2).alias("length"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

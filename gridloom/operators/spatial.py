@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import covers
+from gridloom.functions.geometry import area, clipped, covers
+from gridloom.operators.tables import discard, materialize
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -47,3 +48,53 @@ def first_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFr
     p = points.select("id", "x", "y", index(F.col("x")).alias("cx"), index(F.col("y")).alias("cy"))
     inside = p.join(boxes, ["cx", "cy"]).filter(covers(F.col("ring"), F.col("x"), F.col("y")))
     return inside.groupBy("id").agg(F.min("polygon").alias("polygon"))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """``(left_id, right_id, distance)``: the nearest right point at any distance; ties go to the smallest id.
+
+    Points without a right one within ``radius`` look again with twice the radius, and so
+    on, so rounds grow with the logarithm of the widest gap. Points with a null or
+    non-finite coordinate have no nearest one; without right points there are no rows.
+    """
+    finite = lambda df: df.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xy"))
+    right = finite(right)
+    found, pending = None, materialize(finite(left).select("id", "x", "y"), "nearest-left")
+    if right.isEmpty():
+        return nearest_within(pending, right, radius)
+    while not pending.isEmpty():
+        near = materialize(nearest_within(pending, right, radius), "nearest-found")
+        found = near if found is None else found.unionByName(near)
+        before, pending = pending, materialize(pending.join(near, pending["id"] == near["left_id"], "left_anti"), "nearest-left")
+        discard(before)
+        radius *= 2
+    return found if found is not None else nearest_within(pending, right, radius)
+
+
+def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """``(left_id, right_id, overlap, share)`` of convex rings ``(id, ring)`` that share an area; ``share`` is of the left one.
+
+    Rings go to the cells of side ``cell`` that their boxes touch, which should be few, and
+    a pair is kept in the smallest cell that both touch. Right rings go counter-clockwise.
+    """
+    bound = lambda pick, k: pick(F.transform("ring", lambda p: p[k]))
+    index = lambda c: F.floor(c / cell)
+
+    def dealt(df: DataFrame, n: str) -> DataFrame:
+        rows = df.filter(F.size("ring") > 2).select(F.col("id").alias(f"{n}_id"), F.col("ring").alias(f"{n}_ring"), *[index(bound(F.array_min, k)).alias(f"{n}_{k}") for k in "xy"], *[F.sequence(index(bound(F.array_min, k)), index(bound(F.array_max, k))).alias(f"{n}_c{k}") for k in "xy"])
+        return rows.withColumn("cx", F.explode(f"{n}_cx")).withColumn("cy", F.explode(f"{n}_cy")).drop(f"{n}_cx", f"{n}_cy")
+
+    both = dealt(left, "left").join(dealt(right, "right"), ["cx", "cy"])
+    both = both.filter((F.col("cx") == F.greatest("left_x", "right_x")) & (F.col("cy") == F.greatest("left_y", "right_y")))
+    rows = both.select("left_id", "right_id", area(clipped(F.col("left_ring"), F.col("right_ring"))).alias("overlap"), area(F.col("left_ring")).alias("whole")).filter("overlap > 0")
+    return rows.select("left_id", "right_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
+
+
+def association(overlap: DataFrame, tolerance: float) -> DataFrame:
+    """``(left_id, right_id, kind)`` from ``overlaps``: ``full`` where one ring covers the left one and no other does by more than ``tolerance``.
+
+    Otherwise ``mixed``, with the ring of the largest share (ties: the smallest id).
+    """
+    best = F.max(F.struct("share", (-F.col("right_id")).alias("order"), "right_id"))
+    rows = overlap.filter(F.col("share") > tolerance).groupBy("left_id").agg(best.alias("best"), F.count("*").alias("n"))
+    return rows.select("left_id", "best.right_id", F.when((F.col("n") == 1) & (F.col("best.share") >= 1 - tolerance), "full").otherwise("mixed").alias("kind"))
