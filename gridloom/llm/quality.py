@@ -153,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     known = known.filter(F.pmod(by_hash, F.lit(1 << 40)) <= int(share * (1 << 40))).orderBy(by_hash, "__id", "label").limit(sample)
     rows = docs.select(F.col(text).cast("string").alias("__text"), _meta(docs), F.col(id_col).alias("__doc")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
     found = rows.select("__text", "__meta", "label", F.xxhash64("__doc", "__text").alias("key")).mapInArrow(_examples, "label double, key long, index array<int>, value array<double>, stats array<double>")
-    # Repeated ids could bring more rows than the sample has.
-    t = found.limit(2 * sample).toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
+    # Repeated ids could bring more rows than the sample has: those with the smallest hashes stay.
+    t = found.orderBy("key", "label").limit(2 * sample).toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     lists = [t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("index", "value", "stats")]
     flat = [x.flatten().to_numpy() for x in lists]
     sizes = np.array([0, *np.cumsum(lists[0].value_lengths().to_numpy())]) if len(t) else np.zeros(1, int)
