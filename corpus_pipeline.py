@@ -6,8 +6,11 @@ with a passage of 10 words of an item go), mixing of sources to their target wei
 (documents repeat as often as they are taken), and token files. Each function works on
 all that the one before kept. Columns that documents have besides their usual ones stay.
 
-Documents with null or empty texts pass as far as their score lets them. An empty table
-gives an empty result.
+Rows are told apart by what they hold: a near duplicate by its id and text, a leak by its text.
+So rows with the same id, or none, are judged each by itself, and of equal rows one stays.
+Columns of any name stay as they are. Documents with null or empty texts pass as far as
+their score lets them; without words they have no duplicates and no leaks and are never
+taken more than twice. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,33 +22,28 @@ from gridloom.llm import decontamination, ngram_join, quality, source_mixing, to
 from gridloom.llm.lm_scoring import held_out
 from gridloom.operators.tables import broadcast_if_small, materialize, new_path
 
-BROADCAST_IDS = 500_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``ids (gone)``."""
-    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), F.col("doc_id") == F.col("gone"), "left_anti")
+BROADCAST_TEXTS = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id"), 3))
-    scored = quality.score(quality.fit(docs, labels), docs, docs.columns, name="__score")
-    return scored.filter("__score >= 0.5").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text", "n_chars")
+    return quality.score(quality.fit(docs, labels), rows, ["row"]).filter("score >= 0.5").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = materialize(ngram_join.components(docs, width=5, percent=80), "pipeline-components")
-    return _without(docs, placed.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct())
+    return ngram_join.without_copies(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, materialize(found.select(F.col("doc").alias("gone")), "pipeline-leaks"))
+    leaks = materialize(found.filter("n_hit > 0").select(F.col("t1").alias("l1"), F.col("t2").alias("l2")).distinct(), "pipeline-leaks")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *decontamination.text_digest(F.col("text")))
+    return rows.join(broadcast_if_small(leaks, BROADCAST_TEXTS), (F.col("t1") == F.col("l1")) & (F.col("t2") == F.col("l2")), "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = source_mixing.with_copies(docs, source_mixing.plan_for(docs)).filter("mix.copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(*docs.columns)
+    return source_mixing.taken(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
