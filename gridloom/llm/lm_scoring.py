@@ -253,8 +253,8 @@ def _needs(shared, order: int):
                     block, parts, held = of, [], 0
                 for _, _, data, offsets in chunks(_unpacked(rows)[1], CHUNK_BYTES):
                     words, _, pairs, keep, _ = keys_of(data, offsets, order)
-                    keys = np.unique(np.r_[words, pairs[keep]])
-                    parts.append(keys[table.find(keys) < 0])
+                    keys = np.r_[words, pairs[keep]]
+                    parts.append(np.unique(keys[table.find(keys) < 0]))
                     held += len(parts[-1])
                 if held > HELD_KEYS:
                     parts, held = _merged(parts), 0
