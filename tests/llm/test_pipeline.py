@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_near_duplicates import brute_sets, components
 from tokenizers import Tokenizer
 
@@ -112,6 +113,21 @@ def test_token_files_hold_the_mix(tables):
     assert got == expected
 
 
+def test_stages_of_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    odd = docs.limit(40)
+    docs = docs.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(20).withColumn("text", F.lit(None).cast("string")))
+    names = ["mix", "plan", "gone", "uid", "score", "row", "doc", "token", "copies", "t1", "words", "__text", "__score"]
+    table = materialize(docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]), "test-docs")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = table
+        table = materialize(stage(spark, before, SF), "test-stage")
+        assert table.columns == before.columns and table.count() > 0
+        assert table.exceptAll(before.unionAll(before)).isEmpty()
+        assert table.select("mix", "__score").distinct().count() == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()
+
+
 def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

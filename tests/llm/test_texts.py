@@ -51,12 +51,12 @@ def brute_ppm(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("shard_nodes", [1 << 30, 40])
-def test_scores_equal_brute_force(spark, shard_nodes):
+@pytest.mark.parametrize(("block_bytes", "frequent"), [(1 << 25, 3), (40, 3), (1, 1000)])
+def test_scores_equal_brute_force(spark, block_bytes, frequent):
     rows = docs(spark)
     train = [t for i, t in enumerate(TEXTS) if i % 2 == 0]
     model = lm_scoring.fit(rows.filter("doc_id % 2 = 0"), order=3)
-    got = {r.doc_id: r for r in lm_scoring.score(model, rows, ["doc_id"], shard_nodes=shard_nodes, frequent=3).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(model, rows, ["doc_id"], block_bytes=block_bytes, frequent=frequent).collect()}
     words = [[w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w] + [None] for t in TEXTS]
     seen = [w for i, ws in enumerate(words) if i % 2 == 0 for w in ws]
     n, v = len(seen), len(set(seen))
@@ -72,11 +72,29 @@ def test_scores_without_training_texts(spark):
     assert got == pytest.approx([-3 * math.log10(256), -math.log10(256)])
 
 
+def test_scores_of_repeated_and_null_ids_and_long_texts(spark):
+    long = "lorem ipsum dolor " * 20_000
+    rows = spark.createDataFrame([(1, "the cat", "k"), (1, "the cat", "k"), (1, "a dog", "k"), (None, "the cat", "k"), (2, long, "k")], "doc_id long, text string, score string")
+    model = lm_scoring.fit(rows, order=2)
+    got = sorted(tuple(r) for r in lm_scoring.score(model, rows.withColumnRenamed("score", "block"), ["doc_id", "block"], block_bytes=64).select("doc_id", "n_tokens", F.round("score", 6)).na.fill(-1).collect())
+    train = [r.text for r in rows.collect()]
+    cat, dog = (brute_ppm(train, t, 2) for t in ("the cat", "a dog"))
+    assert [g[:2] for g in got] == [(-1, 3), (1, 3), (1, 3), (1, 3), (2, 60_001)]
+    assert [g[2] for g in got[:4]] == pytest.approx([cat, *sorted([cat, cat, dog])], abs=1e-5)
+
+
+def test_scores_of_an_empty_table(spark):
+    rows = docs(spark).limit(0)
+    assert lm_scoring.score(lm_scoring.fit(rows), rows, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("hot_share", [4096, 1])
 @pytest.mark.parametrize("keep_first", [True, False])
-def test_lines(spark, keep_first):
+def test_lines(spark, keep_first, hot_share):
     texts = ["A b\nx\n\n a B\t", "a b", None, "y\n\nx", "z\nz"]
     rows = docs(spark, texts).withColumn("uid", F.col("doc_id"))
-    found = {r.uid: {w.word * line_dedup.BITS + b for w in r.dropped for b in range(63) if w.bits >> b & 1} for r in line_dedup.keep_bitmaps(rows, min_docs=2, keep_first=keep_first).collect()}
+    found = line_dedup.keep_bitmaps(rows, min_docs=2, keep_first=keep_first, hot_share=hot_share).collect()
+    found = {r.uid: {w.word * line_dedup.BITS + b for w in r.dropped for b in range(63) if w.bits >> b & 1} for r in found}
     assert found == ({0: {3}, 1: {0}, 3: {2}} if keep_first else {0: {0, 1, 3}, 1: {0}, 3: {2}})
 
 
@@ -86,6 +104,37 @@ def test_lines_of_long_texts(spark):
     assert {r.doc_id: list(r.k) for r in kept} == {1: [f"l{i}" for i in range(200, 300)]}
 
 
+@pytest.mark.parametrize("hot_share", [4096, 3, 1])
+def test_lines_equal_brute_force_on_both_paths(spark, hot_share):
+    rng = random.Random(2)
+    common = [f"line {i}" for i in range(30)]
+    texts = ["\n".join([rng.choice(common) if rng.random() < 0.3 else f"own {i} {j}" for j in range(rng.randrange(120))]) for i in range(60)]
+    found = line_dedup.kept(docs(spark, texts), ["doc_id"], min_docs=4, keep_first=False, hot_share=hot_share)
+    got = {r.doc_id: list(r.k) for r in found.select("doc_id", line_dedup.keep_lines(F.col("lines"), F.col("dropped")).alias("k")).collect()}
+    seen = {}
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            seen.setdefault(line, set()).add(i)
+    assert got == {i: [x for x in t.split("\n") if len(seen[x]) < 4 or not x] for i, t in enumerate(texts)}
+
+
+def test_lines_of_rows_with_one_id_or_none(spark, tmp_path):
+    rows = [(i, "common") for i in range(10)] + [(100, "common\nA"), (100, "B\nkeepme"), (None, "common\nown"), (None, None), (101, ""), (7, "twice"), (7, "twice")]
+    spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, uid int, dropped int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()), key=str)
+    kept = ["" if i < 10 else t for i, (_, t) in enumerate(rows)]
+    kept[10], kept[12], kept[13] = "A", "own", ""
+    expected = [(i, (t or "").count("\n") + 1, int("common" in (t or "")), hashlib.sha256(k.encode()).hexdigest()) for (i, t), k in zip(rows, kept, strict=True)]
+    assert got == sorted(expected, key=str)
+
+
+def test_an_empty_table(spark, tmp_path):
+    for name, schema in {"documents": "doc_id long, text string, source string, lang string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int", "conversations": "conv_id long, turn long, role string, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in (line_dedup.op2_line_dedup, lm_scoring.op1_lm_scoring, source_mixing.op6_source_mixing, quality.op7_quality, license_scan.op8_license_scan, decontamination.op9_decontamination, token_output.op10_token_output, chat_format.op5_chat_format):
+        assert query(spark, str(tmp_path)).count() == 0
+
+
 def encoder():
     import public_tokenizers
 
@@ -154,13 +203,22 @@ def test_phrases_equal_brute_force(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     texts = [None, "", f"x {item.upper()} y", "a, " + " - ".join(item.split()[:10]), " ".join(item.split()[:9]), "short item", f"{item} {item}", "the " * 50 + "Short, ITEM!"]
     items = spark.createDataFrame([(1, item), (10, item), (2, "short item"), (3, None), (4, "the the the")], "item_id long, text string")
-    found = {r.doc: (r.n_hit, list(r["items"])) for r in decontamination.contamination(docs(spark, texts), items).collect()}
+    found = {r.id: (r.n_hit, list(r["items"])) for r in decontamination.contamination(docs(spark, texts), items).collect() if r.n_hit}
     assert found == {2: (12, ["1", "10"]), 3: (10, ["1", "10"]), 5: (2, ["2"]), 6: (24, ["1", "10"]), 7: (52, ["2", "4"])}
 
 
+def test_phrases_of_rows_with_one_id_or_none(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"x {item}"), (1, item), (1, "one two"), (1, item), (2, "word " * 50_000 + item), (3, None)]
+    spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, words string, doc int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, item, 4), (9, item, 5)], "item_id long, text string, item int").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.n_near) for r in decontamination.op9_decontamination(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, 11, 10, 1, 1), (1, 10, 10, 1, 1), (1, 2, 0, 0, 0), (1, 10, 10, 1, 1), (2, 50_010, 10, 1, 1), (3, 0, 0, 0, 0)], key=str)
+
+
 def test_near_terms(spark):
-    index = decontamination.Index(docs(spark, ["beta far alpha", "alpha " + "x " * 40 + "beta"]), spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
-    assert [(r.doc, r.item_id) for r in index.near(5).collect()] == [(0, 1)]
+    found = decontamination.contamination(docs(spark, ["beta far alpha", "alpha " + "x " * 40 + "beta", None]), spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), slack=5)
+    assert {r.id: list(r.near) for r in found.collect()} == {0: ["1"], 1: [], 2: []}
 
 
 def test_licences(spark):
@@ -207,6 +265,25 @@ def test_mixing(spark):
         assert all(r.taken in (0, r.size, 2 * r.size) for r in mine)
 
 
+def test_mixing_of_equal_rows_null_ids_and_clashing_names(spark):
+    rows = [(None, "a b c", "s", 1)] * 500 + [(5, "a b", "s", 1)] * 500 + [(i, "x y z", "t", 1) for i in range(100)] + [(900 + i, None, "u", 1) for i in range(50)] + [(1, "w", None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, plan int").withColumn("mix", F.lit("m")).withColumn("copies", F.lit(3)).withColumn("row", F.lit(3))
+    got = source_mixing.mix(table).collect()
+    assert len(got) == len(rows)
+    taken, want = {}, {}
+    for r in got:
+        key = r.source_size
+        taken[key], want[key] = taken.get(key, 0) + r.taken, r.target
+    assert all(abs(taken[k] - want[k]) <= 3 for k in taken)
+    out = source_mixing.taken(table)
+    assert out.columns == table.columns
+    of = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(source_mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert sum(of.values()) == sum(taken.values())
+    assert out.filter("source = 'u'").groupBy("doc_id").count().filter("count > 2").isEmpty()
+    again = source_mixing.mix(table)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
 def cost_of(roles, out_roles):
     legal = {(None, 1), (None, 2), (1, 2), (2, 3), (3, 2)}
     total, before = 0, None
