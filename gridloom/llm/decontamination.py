@@ -168,10 +168,10 @@ ranked AS (SELECT item_id, w, w[place] AS term, row_number() OVER win AS r, min(
   FROM places LEFT JOIN counts ON term = w[place] WINDOW win AS (PARTITION BY item_id, w, s ORDER BY coalesce(n, 0), w[place], place)),
 terms AS (SELECT DISTINCT item_id, w, term FROM ranked WHERE r <= 2 AND fewest > 0),
 wanted AS (SELECT item_id, w, count(*) AS wanted, len(w) + 10 AS span FROM terms GROUP BY item_id, w),
-spots AS (SELECT doc_id, item_id, terms.w, term, at FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM dw) JOIN terms USING (term)),
+spots AS (SELECT doc_id, item_id, terms.w, term, spot FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS spot FROM dw) JOIN terms USING (term)),
 close AS (SELECT a.doc_id, a.item_id FROM spots a JOIN wanted t ON a.item_id = t.item_id AND a.w = t.w
-  JOIN spots b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.w = b.w AND b.at >= a.at AND b.at < a.at + span
-  GROUP BY a.doc_id, a.item_id, a.w, a.at, wanted HAVING count(DISTINCT b.term) = wanted),
+  JOIN spots b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.w = b.w AND b.spot >= a.spot AND b.spot < a.spot + span
+  GROUP BY a.doc_id, a.item_id, a.w, a.spot, wanted HAVING count(DISTINCT b.term) = wanted),
 near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM close GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items.list, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated,
