@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import chat_format, decontamination, license_scan, line_dedup, lm_scoring, ngram_join, quality, source_mixing, token_output, vector_dedup
+from gridloom.llm import chat_format, decontamination, license_scan, line_dedup, lm_scoring, ngram_join, periodic_runs, quality, source_mixing, token_output, vector_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_output": token_output.op10_token_output,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
