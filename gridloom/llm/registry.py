@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import chat_format, decontamination, license_scan, line_dedup, lm_scoring, ngram_join, periodic_runs, quality, source_mixing, token_output, vector_codes, vector_dedup
+from gridloom.llm import chat_format, decontamination, license_scan, line_dedup, lm_scoring, ngram_join, periodic_runs, quality, source_mixing, token_output, vector_codes, vector_dedup, warc
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_output": token_output.op10_token_output,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_warc": warc.op12_warc,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op8_license_scan": license_scan.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
