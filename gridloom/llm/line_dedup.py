@@ -73,33 +73,34 @@ def drops(lines: DataFrame, min_docs: int = 2, keep_first: bool = True, hot_shar
 
 
 def bitmaps(dropped: DataFrame) -> DataFrame:
-    """``(uid, dropped)``: a sparse bitmap of each document that loses lines."""
+    """``(uid, dropped, dense)``: a bitmap of each document that loses lines, sparse and with all its words."""
     word = F.floor(F.col("pos") / BITS).cast("int")
     bit = F.expr(f"shiftleft(1L, pos % {BITS})")
-    return (
-        dropped.groupBy("uid", word.alias("word")).agg(F.bit_or(bit).alias("bits")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
-    )
+    sparse = dropped.groupBy("uid", word.alias("word")).agg(F.bit_or(bit).alias("bits")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    gap = lambda e, i: e["word"] - F.coalesce(F.get("dropped", i - 1)["word"], F.lit(-1)) - 1
+    zero = F.lit(0).cast("long")
+    return sparse.withColumn("dense", F.flatten(F.transform("dropped", lambda e, i: F.concat(F.array_repeat(zero, gap(e, i)), F.array(e["bits"])))))
 
 
-def keep_lines(lines: Column, dropped: Column) -> Column:
-    """The array ``lines`` without those that the sparse bitmap names."""
-    words = F.map_from_entries(dropped)
-    out = lambda i: F.coalesce(F.element_at(words, F.floor(i / BITS).cast("int")), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % BITS).cast("int"))) != 0
-    return F.when(dropped.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~out(i)))
+def keep_lines(lines: Column, dense: Column) -> Column:
+    """The array ``lines`` without those that the bitmap ``dense`` names, in one pass; ``dense`` should be a column as it is, since it is looked up for each line."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % BITS).cast("int"))
+    out = lambda i: F.coalesce(F.get(dense, F.floor(i / BITS).cast("int")), F.lit(0).cast("long")).bitwiseAND(bit(i)) != 0
+    return F.when(dense.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~out(i)))
 
 
 def keep_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, hot_share: int = HOT_SHARE) -> DataFrame:
-    """``(uid, dropped)`` for the documents of ``docs`` (with a unique ``uid``) that lose lines."""
+    """``(uid, dropped, dense)`` for the documents of ``docs`` (with a unique ``uid``) that lose lines."""
     lines = materialize(line_rows(docs, text, min_chars), "line-rows")
     return bitmaps(drops(lines, min_docs, keep_first, hot_share))
 
 
 def kept(docs: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
-    """``keep`` columns, ``lines`` and ``dropped`` (the sparse bitmap, null where no line goes) of every row of ``docs``."""
+    """``keep`` columns, ``lines``, ``dropped`` (the sparse bitmap) and ``dense`` (the same with all words), both null where no line goes, of every row of ``docs``."""
     rows = numbered(docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).cast("string").alias("text")), "line-docs", "uid", compression="zstd")
     found = keep_bitmaps(rows.select("uid", "text"), **options)
     joined = rows.join(found.hint("shuffle_hash"), "uid", "left")
-    return joined.select("kept.*", lines_of(F.col("text")).alias("lines"), "dropped")
+    return joined.select("kept.*", lines_of(F.col("text")).alias("lines"), "dropped", "dense")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         n_dropped.cast("long").alias("n_dropped"),
-        F.sha2(F.encode(F.array_join(keep_lines(F.col("lines"), F.col("dropped")), "\n"), "UTF-8"), 256).alias("kept_sha256"),
+        F.sha2(F.encode(F.array_join(keep_lines(F.col("lines"), F.col("dense")), "\n"), "UTF-8"), 256).alias("kept_sha256"),
     )
 
 
