@@ -15,7 +15,8 @@ worker and looked up after that, in whole arrays. Other texts, and all texts of
 tokenizers files, go through whole.
 
 Null texts count as empty and hold the end id alone. Rows with the same id stay rows of
-their own, next to each other. Null ids come first.
+their own, next to each other, in the order of a hash of what they hold, so that reruns agree and an id
+with many rows is dealt to several files. Null ids come first.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from gridloom.llm.words import IS_WORD, chunks, hashes, spans
 from gridloom.operators.tables import new_path
 
 END_ID = 1
+RESERVED = ("n_tokens", "ids", "file", "row")
 CACHE_UNITS = 1_500_000
 CHUNK_BYTES = 1 << 22
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -206,9 +208,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     """Encode all rows of ``docs`` and write ``id_col``, ``meta``, ``n_tokens`` and ``ids`` under ``path``.
 
     ``tokenizer`` is a tokenizers file that every executor can read (by default the
-    installed public vocabulary, found on the executor).
+    installed public vocabulary, found on the executor). Columns of ``meta`` with a name in ``RESERVED`` are stored
+    with ``meta_`` before it.
     """
-    rows = docs.select(id_col, *meta, F.col(text).cast("string").alias("__text")).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    content = [*map(F.col, meta), F.col(text).cast("string")]
+    order = [id_col, "__h1", "__h2"]
+    named = [F.col(c).alias(f"meta_{c}" if c in RESERVED else c) for c in meta]
+    hashed = docs.select(id_col, *named, F.col(text).cast("string").alias("__text"), F.xxhash64(*content).alias("__h1"), F.xxhash64(F.lit("second"), *content).alias("__h2"))
+    rows = hashed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__h1", "__h2")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens int, ids array<int>"
     options = {
         "compression": "zstd",
