@@ -8,7 +8,8 @@ the budget ends, and only documents of that bucket are counted again by their ne
 bits, until each source's bucket holds one document or the bits are used up. So no document
 is sorted or moved to find a threshold, thresholds are nested (a larger budget takes a
 superset), and reruns agree. The hash is of the id; where that leaves several rows in a bucket
-(repeated or null ids), the bits of the stored row's own number follow.
+(repeated or null ids), bits of a hash of what the row holds follow, and only for equal rows bits of the stored
+row's own number.
 
 Targets are ``share * total`` by weight; a target stops at ``cap`` times its source's
 words and the excess goes to the others by weight. Sources rank by code point, null
@@ -27,8 +28,9 @@ from gridloom.operators.tables import broadcast_if_small, materialize, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LEVEL_BITS = 12
-#: Levels of one hash; those of the row's number follow.
+#: Levels of one hash; those of the row follow, of what it holds and then of its number.
 LEVELS = 5
+ROW_BITS = 28
 BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +48,11 @@ def _leading(h: str) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVELS * LEVEL_BITS)
 
 
+def row_hash(content: list[Column], uid: Column) -> Column:
+    """The leading bits of a hash of ``content``, then ``ROW_BITS`` of one of the row's number."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit("row"), *content), ROW_BITS), ROW_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(uid), 64 - ROW_BITS))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``(source, source_size, weight, target)`` from ``(source, source_size)``.
 
@@ -118,7 +125,8 @@ def thresholds(sized: DataFrame, plan: DataFrame, cap: float = 2.0) -> DataFrame
 
 def measured(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", uid: str = "__uid") -> dict[str, Column]:
     """``source``, ``size`` and both hashes of stored rows numbered by ``uid``."""
-    return {"source": F.col(source), "size": n_words(F.col(text)), "h1": F.xxhash64(F.lit("mix"), F.col(id_col)), "h2": F.xxhash64(F.lit("row"), F.col(uid))}
+    h2 = row_hash([F.col(text), F.col(source)], F.col(uid))
+    return {"source": F.col(source), "size": n_words(F.col(text)), "h1": F.xxhash64(F.lit("mix"), F.col(id_col)), "h2": h2}
 
 
 def plan_for(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -151,9 +159,9 @@ def taken(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``(id, size, source_size, target, taken)`` of every row; ``taken`` is ``size`` times its copies."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("content"))
     rows = numbered(rows, "mix-sizes", "__uid")
-    sized = rows.select("id", "source", "size", F.xxhash64(F.lit("mix"), "id").alias("h1"), F.xxhash64(F.lit("row"), "__uid").alias("h2"))
+    sized = rows.select("id", "source", "size", F.xxhash64(F.lit("mix"), "id").alias("h1"), row_hash([F.col("content"), F.col("source")], F.col("__uid")).alias("h2"))
     placed = planned(sized, plan_for(sized, **options))
     return placed.select(F.col("id").alias(id_col), "size", "plan.source_size", "plan.target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
