@@ -241,7 +241,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that with the smallest id; null ids come last.
 
-    Rows equal in id and text are told apart by nothing, so any one of them stays. Rows
+    Of rows equal in id and text, that with the smallest hash of all its columns stays. Rows
     without tokens stay all.
     """
     placed = materialize(_placed(docs, id_col, text, width, percent).filter("n > 0"), "join-placed")
@@ -260,7 +260,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated = marked.filter("stays")
     if repeated.isEmpty():
         return single
-    once = whole.join(*same(repeated), "left_semi").groupBy("doc", "t1", "t2").agg(F.first("row").alias("row"))
+    once = whole.join(*same(repeated), "left_semi").groupBy("doc", "t1", "t2").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.xxhash64(F.lit("second"), F.to_json("row")))).alias("row"))
     return single.unionByName(once.select("row.*"))
 
 
