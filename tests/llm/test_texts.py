@@ -100,7 +100,7 @@ def test_lines(spark, keep_first, hot_share):
 
 def test_lines_of_long_texts(spark):
     rows = docs(spark, ["\n".join(f"l{i}" for i in range(200)), "\n".join(f"l{i}" for i in range(100, 300))]).withColumn("uid", F.col("doc_id"))
-    kept = rows.join(line_dedup.keep_bitmaps(rows, min_docs=2), "uid").select("doc_id", line_dedup.keep_lines(line_dedup.lines_of(F.col("text")), F.col("dropped")).alias("k")).collect()
+    kept = rows.join(line_dedup.keep_bitmaps(rows, min_docs=2), "uid").select("doc_id", line_dedup.keep_lines(line_dedup.lines_of(F.col("text")), F.col("dense")).alias("k")).collect()
     assert {r.doc_id: list(r.k) for r in kept} == {1: [f"l{i}" for i in range(200, 300)]}
 
 
@@ -110,7 +110,7 @@ def test_lines_equal_brute_force_on_both_paths(spark, hot_share):
     common = [f"line {i}" for i in range(30)]
     texts = ["\n".join([rng.choice(common) if rng.random() < 0.3 else f"own {i} {j}" for j in range(rng.randrange(120))]) for i in range(60)]
     found = line_dedup.kept(docs(spark, texts), ["doc_id"], min_docs=4, keep_first=False, hot_share=hot_share)
-    got = {r.doc_id: list(r.k) for r in found.select("doc_id", line_dedup.keep_lines(F.col("lines"), F.col("dropped")).alias("k")).collect()}
+    got = {r.doc_id: list(r.k) for r in found.select("doc_id", line_dedup.keep_lines(F.col("lines"), F.col("dense")).alias("k")).collect()}
     seen = {}
     for i, t in enumerate(texts):
         for line in t.split("\n"):
@@ -174,6 +174,42 @@ def test_token_files(spark, tmp_path):
     assert all(c.has_offset_index and c.has_column_index for c in encodings.values())
 
 
+def test_token_files_of_repeated_ids_and_clashing_names(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(r.choice([None, 3, 4]), r.choice(["a b", "c", None, "d e f", "g h"]), i % 2, "x") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, row string")
+    seen = []
+    for partitions in (1, 7):
+        files = token_output.write(table.repartition(partitions), str(tmp_path / f"{partitions}"), meta=("n_tokens", "row"))
+        seen.append([tuple(x) for x in token_output.digests(files).orderBy("start").collect()])
+        assert sorted(x.meta_n_tokens for x in files.read("meta_n_tokens").collect()) == sorted(x[2] for x in rows)
+    assert seen[0] == seen[1]
+    assert [x[0] for x in seen[0]] == sorted((x[0] for x in rows), key=lambda i: (i is not None, i))
+
+
+def test_token_files_are_read_selectively(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(4000).selectExpr("id as doc_id", "repeat(concat('w', cast(id as string), ' '), 40) as text")
+    files = token_output.write(rows.coalesce(1), str(tmp_path / "t"), row_group_bytes=1 << 16, page_bytes=1 << 13)
+    groups = 0
+    for path in (tmp_path / "t").glob("*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert meta.row_group(g).total_byte_size < 3 << 17
+            assert columns["doc_id"].has_column_index and columns["ids"].has_offset_index
+            assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+    assert groups > 1
+    some = files.read("doc_id", "n_tokens").filter("doc_id between 1000 and 1009")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1000)" in plan
+    assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert some.count() == 10
+
+
 @pytest.mark.parametrize("change", ["cased", "white space", "special token", "truncation"])
 def test_token_files_of_other_tokenizers(spark, tmp_path, change):
     import public_tokenizers
@@ -240,6 +276,23 @@ def test_licences_inside_longer_texts(spark):
     assert got == expected | {5: (1, "isc", 1.0), 6: (3, "bsd-conditions", 1.0), 8: (2, "mit", 1.0)}
 
 
+def test_lines_of_a_very_long_text(spark):
+    n = 400_000
+    texts = ["\n".join(str(i) if i % 3 else f"same {i}" for i in range(n)), "\n".join(f"same {i}" for i in range(0, n, 3))]
+    rows = line_dedup.kept(docs(spark, texts), ["doc_id"], min_docs=2, keep_first=False)
+    got = {r.doc_id: r.k for r in rows.select("doc_id", F.sha2(F.array_join(line_dedup.keep_lines(F.col("lines"), F.col("dense")), "\n"), 256).alias("k")).collect()}
+    left = "\n".join(str(i) for i in range(n) if i % 3)
+    assert got == {0: hashlib.sha256(left.encode()).hexdigest(), 1: hashlib.sha256(b"").hexdigest()}
+
+
+def test_mixing_agrees_whatever_the_partitions(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, 1, 2]), " ".join("w" * r.randint(1, 9)), r.choice("ab")) for _ in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(tuple, source_mixing.mix(table.repartition(n)).collect()), key=str) for n in (1, 6))
+    assert one == other
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 + 1), None if i % 5 == 4 else f"s{i % 5}" if i % 3 else "s0") for i in range(600)] + [(1000, None, "s9"), (1001, "", "s9")]
     got = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
