@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -63,6 +63,13 @@ def numbered(df: DataFrame, name: str, column: str, **options: str) -> DataFrame
     return materialize(df.withColumn(column, F.monotonically_increasing_id()), name, **options)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``rows`` rows at most; else as it is, for a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` rows at most; else as it is, for a shuffle.
+
+    ``weight`` counts a row as several (at least one), for rows that hold arrays. ``df`` runs twice, so store it first if it is dear.
+    """
+    if weight is None:
+        small = df.limit(rows + 1).count() <= rows
+    else:
+        small = (df.select(F.greatest(weight, F.lit(1)).cast("long").alias("n")).limit(rows + 1).agg(F.sum("n")).head()[0] or 0) <= rows
+    return F.broadcast(df) if small else df
