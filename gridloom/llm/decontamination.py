@@ -11,8 +11,8 @@ with the text, so common words are never looked up.
 Texts are cut into words once: ``tokens`` stores each row's words under a number of its own,
 and counts, postings and comparisons read that table.
 
-What is broadcast grows with the benchmark and is counted first; a benchmark over
-``BROADCAST_ROWS`` is joined by shuffles. A frequent word is looked up only where an item
+What is broadcast grows with the benchmark and is counted first, in rows or in words where rows hold lists; over
+``BROADCAST_ROWS`` it is joined by shuffles. A frequent word is looked up only where an item
 has no rarer one, as in an item of one word; its postings are as many as its occurrences.
 
 Null and empty texts and items have no words and match nothing. Items with the same id
@@ -32,6 +32,8 @@ WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
 SLACK = 10
+#: Words of a text that a window is compared in.
+BLOCK = 256
 
 
 def words(text: Column) -> Column:
@@ -65,15 +67,16 @@ class Index:
     """Positions in ``docs`` of the words that decide about the items' windows."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", width: int = WIDTH):
+        self.width = width
         rows = docs.select(F.col(id_col).alias("id"), *text_digest(F.col(text)), words(F.col(text)).alias("words"))
         self.tokens = numbered(rows.select("id", "t1", "t2", F.size("words").cast("long").alias("n_words"), "words"), "index-tokens", "doc", compression="zstd")
         self.items = materialize(item_words(benchmark, item_col, "text"), "index-items")
-        vocabulary = broadcast_if_small(self.items.select(F.explode("words").alias("term")).distinct(), BROADCAST_ROWS)
+        vocabulary = broadcast_if_small(materialize(self.items.select(F.explode("words").alias("term")).distinct(), "index-vocabulary"), BROADCAST_ROWS)
         counts = self.tokens.select(F.explode("words").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
         self.windows = materialize(rarest(self.items, materialize(counts, "index-counts"), width), "index-windows")
         places = self.windows.select("item", F.explode(F.array_distinct(F.array("first", "second"))).alias("place")).distinct()
         self.places = materialize(places.join(self.items, "item").select("item", "place", F.get("words", F.col("place")).alias("term")), "index-places")
-        terms = broadcast_if_small(self.places.select("term").distinct(), BROADCAST_ROWS)
+        terms = broadcast_if_small(materialize(self.places.select("term").distinct(), "index-terms"), BROADCAST_ROWS)
         occurrences = self.tokens.select("doc", F.posexplode("words").alias("at", "term"))
         self.postings = materialize(occurrences.join(terms, "term").select("term", "doc", "at"), "index-postings")
 
@@ -82,21 +85,25 @@ class Index:
         hits = self.postings.join(broadcast_if_small(self.places, BROADCAST_ROWS), "term").select("doc", "item", (F.col("at") - F.col("place")).alias("shift"), "place")
         hits = hits.groupBy("doc", "item", "shift").agg(F.collect_set("place").alias("places"))
         windows = self.windows.groupBy("item").agg(F.collect_list(F.struct("start", "size", "first", "second")).alias("windows"))
-        hits = hits.join(broadcast_if_small(windows, BROADCAST_ROWS // 10), "item")
+        hits = hits.join(broadcast_if_small(materialize(windows, "index-lists"), BROADCAST_ROWS, F.size("windows")), "item")
         both = F.filter("windows", lambda w: F.array_contains("places", w["first"]) & F.array_contains("places", w["second"]))
         return hits.select("doc", "item", "shift", both.alias("windows")).filter(F.size("windows") > 0)
 
     def phrases(self) -> DataFrame:
-        """``(doc, item_id, shift, windows)``: windows (start, size) that occur word by word at ``shift + start``."""
+        """``(doc, item_id, shift, windows)``: windows (start, size) that occur word by word at ``shift + start``.
+
+        A window meets the block of ``BLOCK`` words where it would begin, never a whole text.
+        """
         found = materialize(self.diagonals(), "index-diagonals")
-        texts = self.tokens.join(broadcast_if_small(found.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi").select("doc", F.col("words").alias("text_words"))
-        both = found.join(broadcast_if_small(self.items, BROADCAST_ROWS // 10), "item").join(texts, "doc")
-        same = F.filter(
-            "windows",
-            lambda w: (F.col("shift") + w["start"] >= 0) & (F.slice("text_words", F.greatest(F.col("shift") + w["start"], F.lit(0)) + 1, w["size"]) == F.slice("words", w["start"] + 1, w["size"])),
-        )
-        matched = both.select("doc", "item_id", "shift", same.alias("windows")).filter(F.size("windows") > 0)
-        return matched.withColumn("windows", F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"))))
+        phrases = self.windows.join(self.items, "item").select("item", "item_id", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("phrase"))
+        phrases = broadcast_if_small(materialize(phrases, "index-phrases"), BROADCAST_ROWS, F.col("size"))
+        spots = found.select("doc", "item", "shift", F.explode("windows").alias("w")).select("doc", "item", "shift", F.col("w.start").alias("start"), (F.col("shift") + F.col("w.start")).alias("at")).filter("at >= 0")
+        texts = self.tokens.join(broadcast_if_small(found.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / BLOCK).cast("int")), lambda b: F.slice("words", b * BLOCK + 1, BLOCK + self.width - 1))
+        blocks = texts.filter(F.size("words") > 0).select("doc", F.posexplode(blocks).alias("block", "text_words"))
+        met = spots.join(phrases, ["item", "start"]).withColumn("block", F.floor(F.col("at") / BLOCK).cast("int")).join(blocks, ["doc", "block"])
+        matched = met.filter(F.slice("text_words", (F.col("at") % BLOCK).cast("int") + 1, F.col("size")) == F.col("phrase"))
+        return matched.groupBy("doc", "item_id", "shift").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
 
     def near(self, slack: int = SLACK) -> DataFrame:
         """``(doc, item_id, n_terms)``: proximity matches of an item, in any order.
@@ -126,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = matched.select("doc", at.alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
     ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
     found = hit.join(matched.groupBy("doc").agg(ids.alias("items")), "doc").join(index.near(slack).groupBy("doc").agg(ids.alias("near")), "doc", "full_outer")
-    rows = index.tokens.select("doc", "id", "t1", "t2", "n_words").join(broadcast_if_small(materialize(found, "index-found"), BROADCAST_ROWS // 10), "doc", "left")
+    rows = index.tokens.select("doc", "id", "t1", "t2", "n_words").join(broadcast_if_small(materialize(found, "index-found"), BROADCAST_ROWS, F.coalesce(F.size("items"), F.lit(0)) + F.coalesce(F.size("near"), F.lit(0))), "doc", "left")
     none = F.array().cast("array<string>")
     return rows.select("id", "t1", "t2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
 

@@ -276,6 +276,14 @@ def test_licences_inside_longer_texts(spark):
     assert got == expected | {5: (1, "isc", 1.0), 6: (3, "bsd-conditions", 1.0), 8: (2, "mit", 1.0)}
 
 
+def test_item_of_one_word_repeated_in_a_very_long_text(spark):
+    n = 100_000
+    texts = spark.createDataFrame([(1, "w " * n + "x"), (2, "a w"), (3, "b")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "W"), ("j", "w w w"), ("k", "x y")], "item_id string, text string")
+    got = {r.id: (r.n_words, r.n_hit, r.items) for r in decontamination.contamination(texts, items).collect()}
+    assert got == {1: (n + 1, n, ["i", "j"]), 2: (2, 1, ["i"]), 3: (1, 0, [])}
+
+
 def test_lines_of_a_very_long_text(spark):
     n = 400_000
     texts = ["\n".join(str(i) if i % 3 else f"same {i}" for i in range(n)), "\n".join(f"same {i}" for i in range(0, n, 3))]
