@@ -1,4 +1,7 @@
-"""Column functions on rings: arrays of ``struct<x: double, y: double>``, the last point not repeated."""
+"""Column functions on rings: arrays of ``struct<x: double, y: double>``, the last point not repeated.
+
+A multipolygon is an array of ``struct<shell: ring, holes: array<ring>>``.
+"""
 
 from __future__ import annotations
 
@@ -36,18 +39,35 @@ def compactness(r: Column) -> Column:
     return F.when(found > 1, 1.0).otherwise(found)
 
 
-def covers(r: Column, x: Column, y: Column) -> Column:
-    """Whether the ring holds the point; points on a side count."""
-
+def _on_side(x: Column, y: Column):
     def on_side(px, py, qx, qy):
         flat = (qx - px) * (y - py) == (qy - py) * (x - px)
         return flat & x.between(F.least(px, qx), F.greatest(px, qx)) & y.between(F.least(py, qy), F.greatest(py, qy))
 
+    return on_side
+
+
+def _odd(r: Column, x: Column, y: Column) -> Column:
     def crossed(px, py, qx, qy):
         return ((py > y) != (qy > y)) & F.coalesce(x < px + F.try_divide((qx - px) * (y - py), qy - py), F.lit(False))
 
-    inside = F.aggregate(_sides(r, crossed), F.lit(False), lambda a, b: a != b)
-    return inside | F.exists(_sides(r, on_side), lambda s: s)
+    return F.aggregate(_sides(r, crossed), F.lit(False), lambda a, b: a != b)
+
+
+def covers(r: Column, x: Column, y: Column) -> Column:
+    """Whether the ring holds the point; points on a side count."""
+    return _odd(r, x, y) | F.exists(_sides(r, _on_side(x, y)), lambda s: s)
+
+
+def strictly_inside(r: Column, x: Column, y: Column) -> Column:
+    """Whether the ring holds the point; points on a side do not count."""
+    return _odd(r, x, y) & ~F.exists(_sides(r, _on_side(x, y)), lambda s: s)
+
+
+def polygon(shell: Column, *holes: Column) -> Column:
+    """A polygon of a multipolygon."""
+    inner = F.array(*holes) if holes else F.array().cast("array<array<struct<x: double, y: double>>>")
+    return F.struct(shell.alias("shell"), inner.alias("holes"))
 
 
 def clipped(r: Column, window: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "planning", "territory", "assembly", "features", "land", "people", "streets", "reports")
+MODULES = ("scoring", "planning", "territory", "assembly", "features", "land", "polygons", "people", "streets", "reports")
 
 
 def load_all() -> None:
