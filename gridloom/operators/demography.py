@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def target_total(baseline: Column, rate: str) -> Column:
-    """``baseline`` grown by ``rate`` (a decimal as text), halves rounded up, at least 0."""
+    """``baseline`` grown by ``rate`` (a decimal as text, over -1), halves rounded up, at least 0."""
+    if Decimal(rate) <= -1:
+        raise ValueError("a growth rate must be over -1")
     grown = F.round(baseline.cast("decimal(18,0)") * F.lit(Decimal(1) + Decimal(rate)), 0).cast("long")
     return F.greatest(grown, F.lit(0).cast("long"))
 
@@ -48,6 +50,14 @@ def densities(groups: DataFrame, keep: list[str], cohorts: list[str], area_m2: s
     return groups.select(*keep, F.when(F.col(area_m2) > 0, people * 1_000_000 / F.col(area_m2)).alias("density_per_km2"), *shares)
 
 
-def allocation_status(total: Column, capacity: Column) -> Column:
-    """``empty``, ``complete``, or ``capacity_limited`` where more people are wanted than there is room for."""
-    return F.when(total <= 0, "empty").when(total > capacity, "capacity_limited").otherwise("complete")
+def allocation(target: Column, baseline: Column, capacity: Column) -> Column:
+    """``struct<status, generated, allocated, unmet, excess>``: people to place beside the ``baseline``, and how many find room.
+
+    The target less the baseline is to be generated; as many as ``capacity`` are allocated, the others unmet. A baseline beyond the target is the
+    excess. The states are fixed names.
+    """
+    zero = F.lit(0).cast("long")
+    generated, excess = F.greatest(target - baseline, zero), F.greatest(baseline - target, zero)
+    allocated = F.least(generated, F.greatest(capacity, zero))
+    status = F.when(excess > 0, "BASELINE_EXCEEDS_TARGET").when(allocated == generated, "TARGET_MET").otherwise("CAPACITY_EXHAUSTED")
+    return F.struct(status.alias("status"), generated.alias("generated"), allocated.alias("allocated"), (generated - allocated).alias("unmet"), excess.alias("excess"))

@@ -17,7 +17,8 @@ from gridloom.operators.tables import materialize
 def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[str, str], place: str = "place") -> DataFrame:
     """``rows`` with ``place`` (from 1) and, for each ``name: column`` of ``sums``, the running sum ``name``.
 
-    Both count within the group, in ``order`` (which should tell rows apart), the row's own included.
+    Both count within the group, in ``order``, the row's own included. Rows that are equal in group and order go to one partition,
+    so ``order`` should tell rows apart: count equal ones first, as ``competition_rank`` does.
     ``name_all`` is the sum of the whole group and ``place_all`` its number of rows. Nulls are a group;
     null summands count as 0.
     """

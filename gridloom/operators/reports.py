@@ -17,10 +17,11 @@ def durations(jobs: DataFrame, group: list[str], started: str, finished: str) ->
 
 
 def over_limit(jobs: DataFrame, group: str, active: Column, limits: dict[str, int], more: int = 0) -> DataFrame:
-    """``(group, active, allowed)``: active jobs of every limited group, and whether ``more`` of them still fit."""
+    """``(group, active, allowed)``: active jobs of every limited group, 0 where it has none, and whether ``more`` of them still fit."""
     counts = jobs.filter(F.col(group).isin(*limits)).groupBy(group).agg(F.count_if(active).alias("active"))
-    limit = F.create_map(*[x for k, n in limits.items() for x in (F.lit(k), F.lit(n))])[F.col(group)]
-    return counts.select(group, "active", (F.col("active") + more <= limit).alias("allowed"))
+    limited = jobs.sparkSession.createDataFrame([(k, n) for k, n in limits.items()], f"`{group}` string, __limit int")
+    rows = limited.join(counts, group, "left").withColumn("active", F.coalesce("active", F.lit(0).cast("long")))
+    return rows.select(group, "active", (F.col("active") + more <= F.col("__limit")).alias("allowed"))
 
 
 def with_counts(runs: DataFrame, key: str, parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -86,9 +87,12 @@ def fingerprint(*columns: str) -> Column:
 
 
 def keyed_seed(seed: Column, *keys: Column) -> Column:
-    """A random seed of 60 bits of its own for each key, from the leading bits of a SHA-256."""
-    digest = F.sha2(F.concat_ws(":", seed.cast("string"), *[k.cast("string") for k in keys]), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    """A random seed of 60 bits of its own for each list of keys, from the leading bits of a SHA-256.
+
+    Each key goes with its length in bytes before it and null as ``n``, so no two lists of keys are written alike.
+    """
+    text = lambda k: F.coalesce(F.concat(F.octet_length(k.cast("string")), F.lit(":"), k.cast("string")), F.lit("n"))
+    return F.conv(F.substring(F.sha2(F.concat(*map(text, [seed, *keys])), 256), 1, 15), 16, 10).cast("long")
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -74,18 +74,23 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """``(left_id, right_id, overlap, share)`` of convex rings ``(id, ring)`` that share an area; ``share`` is of the left one.
 
-    Rings go to the cells of side ``cell`` that their boxes touch, which should be few, and
-    a pair is kept in the smallest cell that both touch. Right rings go counter-clockwise.
+    Boxes go to the cells of side ``cell`` that they touch, which should be few, and a pair is kept in the smallest cell that both
+    touch. Only pairs whose boxes share an area meet with their rings and are clipped. Right rings go counter-clockwise.
+    For concave rings and holes see ``overlay``.
     """
     bound = lambda pick, k: pick(F.transform("ring", lambda p: p[k]))
     index = lambda c: F.floor(c / cell)
 
     def dealt(df: DataFrame, n: str) -> DataFrame:
-        rows = df.filter(F.size("ring") > 2).select(F.col("id").alias(f"{n}_id"), F.col("ring").alias(f"{n}_ring"), *[index(bound(F.array_min, k)).alias(f"{n}_{k}") for k in "xy"], *[F.sequence(index(bound(F.array_min, k)), index(bound(F.array_max, k))).alias(f"{n}_c{k}") for k in "xy"])
-        return rows.withColumn("cx", F.explode(f"{n}_cx")).withColumn("cy", F.explode(f"{n}_cy")).drop(f"{n}_cx", f"{n}_cy")
+        box = [bound(pick, k).alias(f"{n}_{k}{i}") for i, pick in ((0, F.array_min), (1, F.array_max)) for k in "xy"]
+        rows = df.filter(F.size("ring") > 2).select(F.col("id").alias(f"{n}_id"), *box)
+        span = lambda k: F.explode(F.sequence(index(F.col(f"{n}_{k}0")), index(F.col(f"{n}_{k}1"))))
+        return rows.select("*", span("x").alias("cx")).select("*", span("y").alias("cy"))
 
     both = dealt(left, "left").join(dealt(right, "right"), ["cx", "cy"])
-    both = both.filter((F.col("cx") == F.greatest("left_x", "right_x")) & (F.col("cy") == F.greatest("left_y", "right_y")))
+    for k in "xy":
+        both = both.filter((F.col(f"left_{k}0") < F.col(f"right_{k}1")) & (F.col(f"right_{k}0") < F.col(f"left_{k}1")) & (F.col(f"c{k}") == index(F.greatest(f"left_{k}0", f"right_{k}0"))))
+    both = both.select("left_id", "right_id").join(left.select(F.col("id").alias("left_id"), F.col("ring").alias("left_ring")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("ring").alias("right_ring")), "right_id")
     rows = both.select("left_id", "right_id", area(clipped(F.col("left_ring"), F.col("right_ring"))).alias("overlap"), area(F.col("left_ring")).alias("whole")).filter("overlap > 0")
     return rows.select("left_id", "right_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
 

@@ -67,15 +67,20 @@ def weighted(cells: DataFrame, factors: list[Factor], excluded: str = "excluded"
 
 
 def quantiles(rows: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
-    """One row with the quantiles of ``value``, linear between neighbours; null values are left out."""
-    placed = running(rows.select(value).filter(F.col(value).isNotNull()), [], [F.col(value).asc()], {})
-    at = lambda q: q * (F.col("place_all") - 1)
+    """One row with the quantiles of ``value``, linear between neighbours; null values are left out.
+
+    Equal values are counted before they are put in order, so they may be any share of the rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    placed = running(counts, [], [F.col(value).asc()], {"__upto": "__n"})
+    at = lambda q: q * (F.col("__upto_all") - 1)
+    holds = lambda place: (F.col("__upto") - F.col("__n") < place) & (place <= F.col("__upto"))
     sides = []
     for name, q in qs.items():
         low = F.floor(at(q)) + 1
         sides += [
-            F.max(F.when(F.col("place") == low, F.col(value))).alias(f"__low_{name}"),
-            F.max(F.when(F.col("place") == F.least(low + 1, F.col("place_all")), F.col(value))).alias(f"__high_{name}"),
+            F.max(F.when(holds(low), F.col(value))).alias(f"__low_{name}"),
+            F.max(F.when(holds(F.least(low + 1, F.col("__upto_all"))), F.col(value))).alias(f"__high_{name}"),
             F.max(at(q) - F.floor(at(q))).alias(f"__part_{name}"),
         ]
     one = placed.agg(*sides)

@@ -92,7 +92,12 @@ def zone_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("population_targets", """
-SELECT n_nationkey, greatest(floor(n_nationkey * 130 * 1.125::DECIMAL(9, 3) + 0.5), 0)::BIGINT AS target, CASE WHEN n_nationkey = 0 THEN 'empty' WHEN floor(n_nationkey * 130 * 1.125::DECIMAL(9, 3) + 0.5) > 2000 THEN 'capacity_limited' ELSE 'complete' END AS status FROM nation""")
+WITH t AS (SELECT n_nationkey, n_nationkey * 144 AS baseline, CASE WHEN n_nationkey % 4 = 0 THEN 2500 ELSE floor(n_nationkey * 144 * 1.125::DECIMAL(9, 3) + 0.5) END::BIGINT AS target FROM nation),
+g AS (SELECT *, greatest(target - baseline, 0) AS generated, greatest(baseline - target, 0) AS excess FROM t)
+SELECT n_nationkey, target, generated, least(generated, 300) AS allocated, generated - least(generated, 300) AS unmet, excess,
+  CASE WHEN excess > 0 THEN 'BASELINE_EXCEEDS_TARGET' WHEN generated <= 300 THEN 'TARGET_MET' ELSE 'CAPACITY_EXHAUSTED' END AS status FROM g""")
 def population_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = demography.target_total(F.col("n_nationkey") * 130, "0.125")
-    return table(spark, sf_dir, "nation").select("n_nationkey", target.alias("target"), demography.allocation_status(target, F.lit(2000)).alias("status"))
+    key = F.col("n_nationkey").cast("long")
+    target = F.when(key % 4 == 0, F.lit(2500).cast("long")).otherwise(demography.target_total(key * 144, "0.125"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", (key * 144).alias("baseline"), target.alias("target"))
+    return rows.select("n_nationkey", "target", demography.allocation(F.col("target"), F.col("baseline"), F.lit(300).cast("long")).alias("a")).select("n_nationkey", "target", "a.*")

@@ -20,12 +20,13 @@ def _open(ring: Column) -> Column:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, properties, kind, parts, problem)`` of every line.
+    """``(id, properties, kind, parts, polygons, problem)`` of every line.
 
     ``parts`` are lists of ``struct<x, y>``: a point or several, lines, or rings whose last point
-    is not repeated (of all polygons of a feature, one after the other). A line that is no
+    is not repeated (of all polygons of a feature, one after the other). ``polygons`` is the multipolygon
+    ``array<struct<shell, holes>>`` of a polygon or several, and null for other kinds. A line that is no
     feature, has another kind of geometry, or coordinates that do not fit it, has a
-    ``problem`` and null parts.
+    ``problem``, null parts and null polygons.
     """
     f = spark.read.text(path).select(F.from_json("value", FEATURE).alias("f")).select("f.*")
     text, kind = F.col("geometry.coordinates"), F.col("geometry.type")
@@ -34,12 +35,15 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     lists = F.when(kind == "Point", F.array(F.array(_point(parsed(0))))).when(kind.isin("MultiPoint", "LineString"), F.array(points(parsed(1))))
     lists = lists.when(kind == "MultiLineString", F.transform(parsed(2), points)).when(kind == "Polygon", F.transform(parsed(2), lambda r: _open(points(r))))
     lists = lists.when(kind == "MultiPolygon", F.transform(F.flatten(parsed(3)), lambda r: _open(points(r))))
-    rows = f.select("id", "properties", kind.alias("kind"), "type", lists.alias("parts"))
+    nested = F.when(kind == "Polygon", F.array(parsed(2))).when(kind == "MultiPolygon", parsed(3))
+    polygons = F.transform(nested, lambda p: F.struct(_open(points(F.get(p, F.lit(0)))).alias("shell"), F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda r: _open(points(r))).alias("holes")))
+    rows = f.select("id", "properties", kind.alias("kind"), "type", lists.alias("parts"), polygons.alias("polygons"))
+    rows = rows.withColumn("hollow", F.coalesce(F.exists("polygons", lambda p: p["shell"].isNull()), F.lit(False)))
     whole = F.size("parts") > 0
     filled = ~F.exists("parts", lambda p: (F.size(p) == 0) | F.exists(p, lambda q: q["x"].isNull() | q["y"].isNull()))
-    good = F.coalesce((F.col("type") == "Feature") & whole & filled, F.lit(False))
+    good = F.coalesce((F.col("type") == "Feature") & whole & filled & ~F.col("hollow"), F.lit(False))
     problem = F.when(F.coalesce(F.col("type") != "Feature", F.lit(True)), "not a feature").when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "no known kind").otherwise("coordinates do not fit the kind")
-    return rows.select("id", "properties", "kind", F.when(good, F.col("parts")).alias("parts"), F.when(~good, problem).alias("problem"))
+    return rows.select("id", "properties", "kind", F.when(good, F.col("parts")).alias("parts"), F.when(good, F.col("polygons")).alias("polygons"), F.when(~good, problem).alias("problem"))
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
@@ -53,17 +57,27 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Write ``(id, properties, kind, parts)`` as one feature a line; of polygons only single ones."""
+    """Write ``(id, properties, kind, parts)`` as one feature a line.
+
+    Polygons and multipolygons are written from the column ``polygons`` where there is one; rings in ``parts`` are those of one polygon.
+    A feature of no known kind, of several polygons without that column, or without coordinates fails the write, so none is lost.
+    """
     pair = lambda p: F.array(p["x"], p["y"])
     line = lambda ps: F.transform(ps, pair)
     closed = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), pair)
     first = F.get("parts", F.lit(0))
     kind = F.col("kind")
     text = F.when(kind == "Point", F.to_json(pair(F.get(first, F.lit(0))))).when(kind.isin("MultiPoint", "LineString"), F.to_json(line(first)))
-    text = text.when(kind == "MultiLineString", F.to_json(F.transform("parts", line))).when(kind == "Polygon", F.to_json(F.transform("parts", closed)))
+    text = text.when(kind == "MultiLineString", F.to_json(F.transform("parts", line)))
+    single = F.when(kind == "Polygon", F.to_json(F.transform("parts", closed)))
+    if "polygons" in features.columns:
+        whole = lambda p: F.concat(F.array(closed(p["shell"])), F.transform(p["holes"], closed))
+        text = text.when((kind == "Polygon") & (F.size("polygons") == 1), F.to_json(whole(F.get("polygons", F.lit(0)))))
+        text = text.when((kind == "MultiPolygon") & (F.size("polygons") > 0), F.to_json(F.transform("polygons", whole)))
+    text = F.coalesce(text, single, F.raise_error(F.concat(F.lit("no coordinates to write for a feature of kind "), F.coalesce(kind, F.lit("null")))))
     head = F.to_json(F.struct(F.lit("Feature").alias("type"), "id", "properties"))
     body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}}"))
-    features.select(body.alias("value")).filter("value is not null").write.text(path)
+    features.select(body.alias("value")).write.text(path)
 
 
 def write_polygons(features: DataFrame, path: str) -> None:
