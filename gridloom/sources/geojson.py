@@ -74,10 +74,11 @@ def write_features(features: DataFrame, path: str) -> None:
         whole = lambda p: F.concat(F.array(closed(p["shell"])), F.transform(p["holes"], closed))
         text = text.when((kind == "Polygon") & (F.size("polygons") == 1), F.to_json(whole(F.get("polygons", F.lit(0)))))
         text = text.when((kind == "MultiPolygon") & (F.size("polygons") > 0), F.to_json(F.transform("polygons", whole)))
-    text = F.coalesce(text, single, F.raise_error(F.concat(F.lit("no coordinates to write for a feature of kind "), F.coalesce(kind, F.lit("null")))))
+    text = F.coalesce(text, single)
     head = F.to_json(F.struct(F.lit("Feature").alias("type"), "id", "properties"))
     body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}}"))
-    features.select(body.alias("value")).write.text(path)
+    lost = F.raise_error(F.concat(F.lit("no coordinates to write for a feature of kind "), F.coalesce(kind, F.lit("null"))))
+    features.select(F.coalesce(body, lost).alias("value")).write.text(path)
 
 
 def write_polygons(features: DataFrame, path: str) -> None:
