@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry
-from gridloom.operators import network, placement, spatial
+from gridloom.operators import network, paths, placement, spatial
 from gridloom.plans.catalog import query, table
 from gridloom.streaming.claims import claim
 
@@ -55,19 +55,19 @@ def network_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.prune_dangling(roads.withColumn("fixed", F.col("edge") % 7 == 0), 25.0)
 
 
-def _greedy_sql(capacity: int = 20_000, count: int = 8) -> str:
+NATION_PAIRS_SQL = "pairs AS (SELECT s_suppkey AS candidate, c_custkey AS demand FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 0)"
+
+
+def _greedy_sql(pairs: str = NATION_PAIRS_SQL, capacity: int = 20_000, count: int = 8) -> str:
     """The choices one after the other, each on the demand that the one before left."""
-    steps = [
-        "l0 AS (SELECT c_custkey AS demand, greatest(floor(c_acctbal), 0)::DOUBLE AS amount FROM customer)",
-        "pairs AS (SELECT s_suppkey AS candidate, c_custkey AS demand FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 0)",
-    ]
+    steps = [pairs, "l0 AS (SELECT c_custkey AS demand, greatest(floor(c_acctbal), 0)::DOUBLE AS amount FROM customer)"]
     for i in range(1, count + 1):
         chosen = "".join(f" AND candidate NOT IN (SELECT candidate FROM b{j})" for j in range(1, i))
         steps.append(f"b{i} AS MATERIALIZED (SELECT candidate FROM pairs JOIN l{i - 1} USING (demand) WHERE amount > 0{chosen} GROUP BY candidate ORDER BY least(sum(amount), {capacity}) DESC, candidate LIMIT 1)")
         before = "coalesce(sum(amount) OVER (ORDER BY demand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
         steps.append(f"s{i} AS MATERIALIZED (SELECT {i} AS iteration, candidate, demand, least(amount, greatest(0, {capacity} - {before})) AS served FROM pairs JOIN b{i} USING (candidate) JOIN l{i - 1} USING (demand) WHERE amount > 0)")
         steps.append(f"l{i} AS MATERIALIZED (SELECT demand, amount - coalesce(served, 0) AS amount FROM l{i - 1} LEFT JOIN s{i} USING (demand))")
-    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT iteration, candidate, demand, served::DOUBLE AS served FROM s{i} WHERE served > 0" for i in range(1, count + 1))
+    return f"WITH RECURSIVE {', '.join(steps)} " + " UNION ALL ".join(f"SELECT iteration, candidate, demand, served::DOUBLE AS served FROM s{i} WHERE served > 0" for i in range(1, count + 1))
 
 
 @query("greedy_placement", _greedy_sql())
@@ -78,6 +78,62 @@ def greedy_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.greedy(demands, coverage, 20_000.0, 8)
 
 
+WAYS_SQL = f"{ROADS_SQL}, ways AS (SELECT src AS a, dst AS b, length FROM roads UNION ALL SELECT dst, src, length FROM roads)"
+PATHS_SQL = f"""{WAYS_SQL},
+reach(node, distance, origin) AS (
+  SELECT DISTINCT s_suppkey, 0::DOUBLE, s_suppkey FROM supplier WHERE s_nationkey < 5
+  UNION SELECT w.b, r.distance + w.length, r.origin FROM reach r JOIN ways w ON r.node = w.a WHERE r.distance + w.length <= 60),
+near AS (SELECT node, distance, min(origin) AS origin FROM reach WHERE (node, distance) IN (SELECT (node, min(distance)) FROM reach GROUP BY node) GROUP BY ALL),
+tight AS (SELECT w.a, w.b FROM ways w JOIN near u ON u.node = w.a JOIN near v ON v.node = w.b WHERE u.origin = v.origin AND u.distance + w.length = v.distance),
+walks(node, h) AS (SELECT node, 0 FROM near WHERE distance = 0 UNION SELECT b, h + 1 FROM walks JOIN tight ON node = a),
+hops AS (SELECT node, min(h) AS h FROM walks GROUP BY node),
+parents AS (SELECT b AS node, min(a) AS parent FROM tight JOIN hops x ON x.node = a JOIN hops y ON y.node = b WHERE x.h + 1 = y.h GROUP BY b)"""
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "supplier").filter("s_nationkey < 5").select(F.lit(1).alias("search"), F.col("s_suppkey").alias("node"))
+    return paths.search(_roads(spark, sf_dir), sources, 60.0, 20.0)
+
+
+@query("road_search", f"""
+WITH RECURSIVE {PATHS_SQL} SELECT node, distance, origin, h::BIGINT AS hops, parent FROM near JOIN hops USING (node) LEFT JOIN parents USING (node)""")
+def road_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir).drop("search")
+
+
+@query("road_paths", f"""
+WITH RECURSIVE {PATHS_SQL}, path(target, place, node) AS (
+  SELECT node, h, node FROM hops WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_nationkey >= 5) UNION ALL SELECT target, place - 1, parent FROM path JOIN parents USING (node))
+SELECT target, place::BIGINT AS place, node FROM path""")
+def road_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "supplier").filter("s_nationkey >= 5").select(F.lit(1).alias("search"), F.col("s_suppkey").alias("node"))
+    return paths.path_nodes(_search(spark, sf_dir), targets).drop("search")
+
+
+ACCESS_SQL = f"""{WAYS_SQL},
+sites(origin, node, distance) AS (
+  SELECT DISTINCT s_suppkey, s_suppkey, 0::DOUBLE FROM supplier WHERE s_nationkey < 3
+  UNION SELECT r.origin, w.b, r.distance + w.length FROM sites r JOIN ways w ON r.node = w.a WHERE r.distance + w.length <= 50),
+access AS (SELECT origin AS site, c_custkey AS demand, min(distance) AS distance FROM sites JOIN customer ON node = c_custkey // 15 GROUP BY ALL)"""
+
+
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "supplier").filter("s_nationkey < 3").select(F.col("s_suppkey").alias("site"), F.col("s_suppkey").alias("node"))
+    demands = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("demand"), F.floor(F.col("c_custkey") / 15).alias("node"))
+    return paths.access(_roads(spark, sf_dir), sites, demands, 50.0, 25.0)
+
+
+@query("candidate_access", f"WITH RECURSIVE {ACCESS_SQL} SELECT site, demand, distance FROM access")
+def candidate_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _access(spark, sf_dir)
+
+
+@query("network_placement", _greedy_sql(f"{ACCESS_SQL}, pairs AS (SELECT site AS candidate, demand FROM access JOIN customer ON demand = c_custkey WHERE c_acctbal > 0)"))
+def network_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demands = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("demand"), F.floor("c_acctbal").alias("amount"))
+    return placement.greedy(demands, _access(spark, sf_dir).select(F.col("site").alias("candidate"), "demand"), 20_000.0, 8)
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), "label")
