@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "planning", "territory", "assembly", "features", "land", "polygons", "zoning", "zones", "people", "streets", "reports")
+MODULES = ("scoring", "planning", "territory", "assembly", "features", "land", "polygons", "zoning", "zones", "stores", "people", "streets", "reports")
 
 
 def load_all() -> None:
