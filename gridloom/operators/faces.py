@@ -44,12 +44,14 @@ def trace(sides: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def rings(traced: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """``(face, area, ring)`` of ``trace``: counter-clockwise rings have a positive area. A ring is one row."""
+    """``(face, area, ring)`` of ``trace``: counter-clockwise rings have a positive area. A ring is one row and begins at its smallest corner."""
     first = F.when(F.col("back") == 0, F.lit(None)).otherwise(-F.col("back"))
     cross = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     points = F.array_sort(F.collect_list(F.struct(first.isNotNull().alias("later"), first.alias("at"), F.col("x1").alias("x"), F.col("y1").alias("y"))))
     found = traced.groupBy(*(group or []), "face").agg(cross.alias("area"), points.alias("points"))
-    return found.withColumn("ring", F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).drop("points")
+    found = found.withColumn("loop", F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).drop("points")
+    at = F.array_position("loop", F.array_min("loop")).cast("int")
+    return found.withColumn("ring", F.concat(F.slice("loop", at, F.size("loop")), F.slice("loop", F.lit(1), at - 1))).drop("loop")
 
 
 def nested(faces: DataFrame, cell: float, group: list[str] | None = None) -> DataFrame:

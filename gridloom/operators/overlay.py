@@ -111,6 +111,8 @@ def areas(found: DataFrame, group: list[str]) -> DataFrame:
 
 def polygons_of(found: DataFrame, group: list[str], cell: float) -> DataFrame:
     """``(group, geom, area)``: a ``boundary`` as one multipolygon a group, its parts by their smallest points."""
+    if taken := {"side", "face", "back", "x", "y", *ENDS} & set(group):
+        raise ValueError(f"a group cannot have these names: {sorted(taken)}")
     numbered = materialize(found.withColumn("side", F.monotonically_increasing_id()), "overlay-sides")
     faces = materialize(rings(trace(numbered, group), group), "overlay-rings")
     parts = nested(faces, cell, group).select(*group, "area", F.struct(F.col("ring").alias("shell"), "holes").alias("part"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import box, polygon
-from gridloom.operators import adjacency
+from gridloom.operators import adjacency, splitting
 from gridloom.plans.catalog import query, table
 
 #: Rows of so many lots, each as wide as its part's size says.
@@ -107,3 +107,19 @@ SELECT (SELECT count(*) FROM touch WHERE 'green' NOT IN (p, q))::BIGINT AS forbi
   (SELECT count(*) FROM touch WHERE 'living' NOT IN (p, q))::BIGINT AS discouraged, -(SELECT count(*) FROM touch WHERE 'industry' NOT IN (p, q))::BIGINT AS not_preferred, (SELECT abs(g - total * 0.25) + abs(i - total * 0.25) + abs(l - total * 0.5) FROM held)::DOUBLE AS target_error""")
 def zone_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency.objective(*_refined(spark, sf_dir), POLICY, SMALLEST, SHARES)
+
+
+SPLIT = 5.0
+
+
+@query("split_blocks", f"""
+WITH RECURSIVE cut(id, w, h) AS (
+  SELECT s_suppkey, (2 + s_suppkey % 7)::DOUBLE, (1 + s_suppkey % 5)::DOUBLE FROM supplier
+  UNION ALL SELECT id, CASE WHEN w > h THEN w / 2 ELSE w END, CASE WHEN w > h THEN h ELSE h / 2 END FROM cut, range(2) WHERE w * h > {SPLIT})
+SELECT id, count(*)::BIGINT AS parts, round(min(w * h), 6) AS smallest, round(sum(w * h), 6) AS area FROM cut WHERE w * h <= {SPLIT} GROUP BY id""")
+def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    x = (key * 10).cast("double")
+    blocks = table(spark, sf_dir, "supplier").select(key.alias("id"), F.array(polygon(box(x, F.lit(0.0), x + 2 + key % 7, 1.0 + key % 5))).alias("geom"))
+    found = splitting.split(blocks, SPLIT, 4.0).groupBy("id").agg(F.count("*").alias("parts"), F.round(F.min("area"), 6).alias("smallest"), F.round(F.sum("area"), 6).alias("area"))
+    return found

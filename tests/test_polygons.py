@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gridloom.operators import faces, overlay, reports, spatial
+from gridloom.operators import faces, overlay, reports, spatial, splitting
 from gridloom.sources import geojson
 
 RING = "array<struct<x: double, y: double>>"
@@ -94,6 +95,26 @@ def test_slanted_overlay(spark):
     assert area(overlay.DIFFERENCE) == pytest.approx(3.0)
 
 
+def test_split_parts_are_small_and_keep_the_area(spark):
+    ell = points([(0, 0), (8, 0), (8, 3), (3, 3), (3, 8), (0, 8)])
+    rows = [(1, [(ell, [rect(1, 1, 2, 2)])]), (2, [(rect(0, 0, 2, 2), []), (rect(5, 0, 9, 1), [])])]
+    seen = []
+    for partitions in (1, 3):
+        df = spark.createDataFrame(rows, f"id int, geom {GEOM}").repartition(partitions)
+        found = splitting.split(df, 12.0, 4.0).collect()
+        assert all(0 < r.area <= 12 for r in found)
+        assert {i: round(sum(r.area for r in found if r.id == i), 6) for i in (1, 2)} == {1: 38.0, 2: 8.0}
+        assert sorted(r.path for r in found if r.id == 2) == ["0", "1"]
+        seen.append(sorted((r.id, r.path, round(r.area, 6)) for r in found))
+    assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize(("ring", "axis"), [(rect(0, 0, 4, 1), (1.0, 0.0)), (rect(0, 0, 1, 4), (0.0, 1.0)), (rect(0, 0, 2, 2), (0.0, 1.0)), (points([(0, 0), (3, 3), (2, 4), (-1, 1)]), (0.5**0.5, 0.5**0.5)), (points([(0, 0), (1, 1), (2, 2)]), None)])
+def test_long_axis(ring, axis):
+    found = splitting.long_axis(np.array(ring))
+    assert found == (axis if axis is None else pytest.approx(axis))
+
+
 def test_overlaps_compare_boxes_first(spark):
     schema = f"id int, ring {RING}"
     left = spark.createDataFrame([(1, rect(0, 0, 2, 2)), (2, rect(10, 0, 12, 2)), (3, [])], schema)
