@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import paths
 from gridloom.operators.tables import discard, materialize
 
 
-def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: float) -> DataFrame:
+def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: float, bands: int = 4) -> DataFrame:
     """``(node, distance, origin)``: the nearest of ``sources (node)`` for each node within ``max_distance``.
 
     Edges go both ways; of parallel ones the shortest counts. Ties go to the smallest
-    origin. Only nodes that improved send along their edges in a round, and each round is
-    written, so the number of rounds is the number of edges on the longest of the paths.
+    origin. Distances are settled in ``bands``, and nodes of a settled band are not touched again (see ``paths.search``).
     Edges with a null end, or a length that is null or negative, are ignored.
     """
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("length").cast("double").alias("length")).dropna().filter("length >= 0 and a != b")
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    e = materialize(e.groupBy("a", "b").agg(F.min("length").alias("length")), "network-edges")
-    key = F.struct("distance", "origin")
-    start = sources.select("node").dropna().distinct()
-    best = materialize(start.select("node", F.lit(0.0).alias("distance"), F.col("node").alias("origin"), F.lit(True).alias("moved")), "network-best")
-    while not best.filter("moved").isEmpty():
-        sent = best.filter("moved").join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), "origin")
-        sent = sent.filter(F.col("distance") <= max_distance).withColumn("old", F.lit(False))
-        known = best.select("node", "distance", "origin", F.lit(True).alias("old"))
-        found = known.unionByName(sent).groupBy("node").agg(F.min(key).alias("now"), F.min(F.when(F.col("old"), key)).alias("was"))
-        before, best = best, materialize(found.select("node", "now.distance", "now.origin", (F.col("was").isNull() | (F.col("now") < F.col("was"))).alias("moved")), "network-best")
-        discard(before)
-    discard(e)
-    return best.select("node", "distance", "origin")
+    found = paths.search(edges, sources.select(F.lit(1).alias("search"), "node"), max_distance, max_distance / bands if max_distance > 0 else 1.0)
+    return found.select("node", "distance", "origin")
 
 
 def raster_edges(cells: DataFrame, cell_size: float, weight: float, diagonal: bool = False) -> DataFrame:
