@@ -112,13 +112,13 @@ def road_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACCESS_SQL = f"""{WAYS_SQL},
 sites(origin, node, distance) AS (
-  SELECT DISTINCT s_suppkey, s_suppkey, 0::DOUBLE FROM supplier WHERE s_nationkey < 3
+  SELECT DISTINCT s_suppkey, s_suppkey, 0::DOUBLE FROM supplier WHERE s_nationkey < 10
   UNION SELECT r.origin, w.b, r.distance + w.length FROM sites r JOIN ways w ON r.node = w.a WHERE r.distance + w.length <= 50),
 access AS (SELECT origin AS site, c_custkey AS demand, min(distance) AS distance FROM sites JOIN customer ON node = c_custkey // 15 GROUP BY ALL)"""
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "supplier").filter("s_nationkey < 3").select(F.col("s_suppkey").alias("site"), F.col("s_suppkey").alias("node"))
+    sites = table(spark, sf_dir, "supplier").filter("s_nationkey < 10").select(F.col("s_suppkey").alias("site"), F.col("s_suppkey").alias("node"))
     demands = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("demand"), F.floor(F.col("c_custkey") / 15).alias("node"))
     return paths.access(_roads(spark, sf_dir), sites, demands, 50.0, 25.0)
 
