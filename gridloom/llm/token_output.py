@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,8 +88,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.ids, self.n_ids, self.starts, self.sizes = np.zeros(1 << 16, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Forget all pieces: sorted ``keys`` with their ``rows`` of ``starts`` and ``sizes`` in ``ids``."""
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.n_ids, self.starts, self.sizes = np.zeros(1 << 16, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -100,16 +102,27 @@ class Encoder:
             return [t.id for t in tokenize(text)]
         return [t.id for p in PIECES.findall(text) for t in tokenize("".join([letters[b] for b in p.encode()]))]
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        coded = [self._unit(t) for t in texts]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        flat = np.array([i for c in coded for i in c], np.int32)
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        inside = at < len(self.keys)
+        inside[inside] = self.keys[at[inside]] == keys[inside]
+        return inside
+
+    def _learn(self, keys: np.ndarray, texts: Iterator[str]) -> None:
+        """Encode pieces with new ``keys``, which ascend."""
+        flat, sizes = array("i"), array("i")
+        for text in texts:
+            unit = self._unit(text)
+            flat.extend(unit)
+            sizes.append(len(unit))
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
-        self.starts = np.r_[self.starts, self.n_ids + np.cumsum(sizes) - sizes]
-        self.sizes = np.r_[self.sizes, sizes]
+        n, at = np.array(sizes, np.int32), np.searchsorted(self.keys, keys)
+        self.rows = np.insert(self.rows, at, np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.r_[self.starts, self.n_ids + np.cumsum(n, dtype=np.int64) - n]
+        self.sizes = np.r_[self.sizes, n]
         self.n_ids += len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +147,11 @@ class Encoder:
         if len(self.rows) > CACHE_UNITS:
             self.clear()
         keys, at, place = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        rows = np.array([self.rows.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(rows < 0)
+        new = np.flatnonzero(~self._known(keys))
         if len(new):
-            raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            rows[new] = np.arange(len(self.rows) - len(new), len(self.rows))
-        rows = rows[place]
+            raw, places = data.tobytes(), zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
+            self._learn(keys[new], (raw[a:b].decode("utf-8", "replace") for a, b in places))
+        rows = self.rows[np.searchsorted(self.keys, keys)][place]
         sizes = self.sizes[rows]
         before = np.r_[0, np.cumsum(sizes)]
         totals = np.diff(before[first])
