@@ -39,7 +39,7 @@ from gridloom.operators.tables import new_path
 END_ID = 1
 RESERVED = ("n_tokens", "ids", "file", "row")
 CACHE_UNITS = 800_000
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: What ``_unit`` and the cuts of ``encode`` do by themselves.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
