@@ -93,7 +93,7 @@ class Machine:
         own = (start[:, None] + np.arange(STATS)).ravel()
         words = np.ones(len(index) + docs * STATS, dtype=bool)
         words[own] = False
-        i, x = np.empty(len(words), np.int64), np.empty(len(words))
+        i, x = np.empty(len(words), np.int32), np.empty(len(words))
         i[own], x[own] = np.tile(WORD_FEATURES + np.arange(STATS), docs), z.ravel()
         i[words], x[words] = index, value
         return start, i, x
@@ -114,6 +114,7 @@ def train(at: np.ndarray, index: np.ndarray, value: np.ndarray, stats: np.ndarra
         m.factors[:] = 0
         return m
     start, i, x = m.rows(at, index, value, stats)
+    del index, value, stats  # as large again as what is left
     end = np.r_[start[1:], len(i)]
     seen, seen_linear, seen_factors = 1e-6, np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
     for _ in range(epochs):
@@ -158,7 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     lists = [t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("index", "value", "stats")]
     flat = [x.flatten().to_numpy() for x in lists]
     sizes = np.array([0, *np.cumsum(lists[0].value_lengths().to_numpy())]) if len(t) else np.zeros(1, int)
-    return train(sizes, flat[0], flat[1], flat[2].reshape(-1, STATS), t.column("label").to_numpy())
+    marks = np.array(t.column("label").to_numpy())
+    # The driver keeps the sample once while it trains, and nothing of it after that.
+    del t, lists
+    pa.default_memory_pool().release_unused()
+    machine = train(sizes, flat.pop(0), flat.pop(0), flat.pop(0).reshape(-1, STATS), marks)
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def _score(shared, names: list[str], name: str):
