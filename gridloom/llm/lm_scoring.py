@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import Counts, HashTable, chunks, hashes, spans
+from gridloom.llm.words import Counts, HashTable, chunks, hashes, spans, unique
 from gridloom.operators.tables import discard, materialize
 
 ORDER = 5
@@ -219,18 +219,18 @@ def _unpacked(rows: pa.BinaryScalar) -> tuple[pa.Array, pa.Array]:
 
 
 def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.unique(np.concatenate(parts))] if parts else []
+    return [unique(np.concatenate(parts))] if parts else []
 
 
 _loaded: dict[str, tuple[HashTable, np.ndarray]] = {}
 
 
 def _frequent(shared) -> tuple[HashTable, np.ndarray]:
-    """The broadcast entries as a table, built once in each worker."""
+    """The broadcast entries as a table and their values, and a 0 for what is not there; built once in each worker."""
     v = shared.value
     if v["id"] not in _loaded:
         _loaded.clear()
-        _loaded[v["id"]] = HashTable(v["keys"]), v["values"]
+        _loaded[v["id"]] = HashTable(v["keys"]), np.append(v["values"], 0.0)
         v["keys"] = None  # the table has a copy
     return _loaded[v["id"]]
 
@@ -253,9 +253,9 @@ def _needs(shared, order: int):
                     block, parts, held = of, [], 0
                 for _, _, data, offsets in chunks(_unpacked(rows)[1], CHUNK_BYTES):
                     words, _, pairs, keep, _ = keys_of(data, offsets, order)
-                    keys = np.r_[words, pairs[keep]]
-                    parts.append(np.unique(keys[table.find(keys) < 0]))
-                    held += len(parts[-1])
+                    for keys in (words, pairs[keep]):
+                        parts.append(keys[table.find(keys) < 0])
+                        held += len(parts[-1])
                 if held > HELD_KEYS:
                     parts, held = _merged(parts), 0
         yield from out()
@@ -268,16 +268,12 @@ def _score(shared, order: int, total: int, distinct: int):
 
     def run(block: pa.Table, needed: pa.Table) -> pa.Table:
         frequent, frequent_values = _frequent(shared)
-        keys, at = np.unique(needed.column("key").to_numpy().view(np.uint64), return_index=True)
-        own, own_values = HashTable(keys), needed.column("value").to_numpy()[at]
+        own, own_values = HashTable(needed.column("key").to_numpy().view(np.uint64)), np.append(needed.column("value").to_numpy(), 0.0)
 
         def find(keys: np.ndarray) -> np.ndarray:
             row = frequent.find(keys)
-            out, miss = np.zeros(len(keys)), np.flatnonzero(row < 0)
-            hit = np.flatnonzero(row >= 0)
-            out[hit] = frequent_values[row[hit]]
-            row = own.find(keys[miss])
-            out[miss[row >= 0]] = own_values[row[row >= 0]]
+            out, miss = frequent_values[row], np.flatnonzero(row < 0)
+            out[miss] = own_values[own.find(keys[miss])]
             return out
 
         base = np.log10(total + 0.5 * (distinct + 1))
@@ -308,9 +304,10 @@ def score(model: Model, docs: DataFrame, keep: list[str], text: str = "text", fr
     seen = seen_pairs(model)
     top = (
         model.words.filter((F.col("n") * frequent >= model.total) | (F.col("key") == int(END_WORD.view(np.int64))))
-        .select("key", F.col("n").cast("double").alias("value"))
-        .unionByName(seen.filter(F.col("n") * frequent >= model.pairs).select("key", "value"))
+        .select("key", "n", F.col("n").cast("double").alias("value"))
+        .unionByName(seen.filter(F.col("n") * frequent >= model.pairs))
         .toArrow()
+        .sort_by([("n", "descending")])
     )
     label = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
     shared = docs.sparkSession.sparkContext.broadcast({"id": label, "keys": top.column("key").to_numpy().view(np.uint64), "values": top.column("value").to_numpy()})

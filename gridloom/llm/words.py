@@ -86,8 +86,24 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts])
 
 
+def unique(keys: np.ndarray) -> np.ndarray:
+    """The keys in order, each once. (``np.unique`` alone fills a set of keys, which takes several times as long.)"""
+    keys = np.sort(keys)
+    return keys[_new(keys)]
+
+
+def _new(keys: np.ndarray) -> np.ndarray:
+    """Which of some sorted keys differ from the one before."""
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
+
+
 class HashTable:
-    """Open addressing over unique 64-bit keys, built and searched in whole arrays."""
+    """Open addressing over 64-bit keys, built and searched in whole arrays.
+
+    The first keys have their slots first, so the most wanted ones belong there. Of equal keys one is found.
+    """
 
     EMPTY = np.uint64((1 << 64) - 1)
 
@@ -99,25 +115,27 @@ class HashTable:
         keys = keys.astype(np.uint64, copy=False)
         todo, slots = np.arange(len(keys)), self._slots(keys)
         while len(todo):
-            free = self.keys[slots] == self.EMPTY
-            _, at = np.unique(slots[free], return_index=True)
-            put = np.flatnonzero(free)[at]
+            free = np.flatnonzero(self.keys[slots] == self.EMPTY)
+            # Keys that want the same slot all write their row; the last one written, which is the first key, has it.
+            self.rows[slots[free[::-1]]] = todo[free[::-1]]
+            put = free[self.rows[slots[free]] == todo[free]]
             self.keys[slots[put]] = keys[todo[put]]
-            self.rows[slots[put]] = todo[put]
             rest = np.ones(len(todo), dtype=bool)
             rest[put] = False
             todo, slots = todo[rest], (slots[rest] + 1) & self.mask
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+        slots = keys * np.uint64(0xD6E8FEB86659FD93)
+        slots >>= self.shift
+        return slots.view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""
         slots = self._slots(keys)
-        seen = self.keys[slots]
-        hit = seen == keys
-        rows = np.where(hit, self.rows[slots], np.int32(-1))
-        todo = np.flatnonzero(~hit & (seen != self.EMPTY))
+        seen, rows = self.keys[slots], self.rows[slots]
+        miss = np.flatnonzero(seen != keys)
+        rows[miss] = -1
+        todo = miss[seen[miss] != self.EMPTY]
         slots = slots[todo]
         while len(todo):
             slots = (slots + 1) & self.mask
@@ -130,16 +148,23 @@ class HashTable:
 
 
 class Counts:
-    """Counts of 64-bit keys, gathered batch by batch; ``drain`` gives and forgets them."""
+    """Counts of 64-bit keys, gathered batch by batch; ``drain`` gives and forgets them.
+
+    Keys are counted when ``RAW`` of them are there, so that few counts have to be merged.
+    """
+
+    RAW = 1 << 21
 
     def __init__(self, limit: int = 1 << 22):
+        self.raw: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.limit = 0, limit
+        self.waiting, self.size, self.limit = 0, 0, limit
 
     def add(self, keys: np.ndarray) -> None:
-        part = np.unique(keys, return_counts=True)
-        self.parts.append(part)
-        self.size += len(part[0])
+        self.raw.append(keys)
+        self.waiting += len(keys)
+        if self.waiting >= self.RAW:
+            self._count()
         if self.size > self.limit and len(self.parts) > 1:
             self.parts = [self._merged()]
             self.size = len(self.parts[0][0])
@@ -147,14 +172,24 @@ class Counts:
     def full(self) -> bool:
         return self.size > self.limit
 
+    def _count(self) -> None:
+        keys = np.concatenate(self.raw)
+        self.raw, self.waiting = [], 0
+        keys.sort()
+        at = np.flatnonzero(_new(keys))
+        self.parts.append((keys[at], np.diff(at, append=len(keys))))
+        self.size += len(at)
+
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([k for k, _ in self.parts])
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], np.concatenate([c for _, c in self.parts])[order]
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        at = np.flatnonzero(_new(keys))
         return keys[at], np.add.reduceat(n, at)
 
     def drain(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self._count()
         out = self._merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.size = [], 0
         return out
