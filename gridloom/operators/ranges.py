@@ -47,9 +47,11 @@ def running(rows: DataFrame, group: list[str], order: list[Column], sums: dict[s
 def competition_rank(rows: DataFrame, value: str, group: list[str] | None = None, rank: str = "rank", rising: bool = False) -> DataFrame:
     """``rows`` with ``rank``: 1, 2, 2, 4, ... by falling (or rising) ``value`` within ``group``; null values have none.
 
-    Equal values are counted before they are put in order, so only distinct ones are ranked.
+    Equal values are counted before they are put in order, so only distinct ones are ranked. ``rows`` are stored first: a value that is
+    a sum may differ in its last digit when it is found again, and would then not meet its own rank.
     """
     group = group or []
+    rows = materialize(rows, "ranked-rows")
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
     order = F.col(value).asc() if rising else F.col(value).desc()
     ranked = running(counts, group, [order], {"__upto": "__n"}, "__place")

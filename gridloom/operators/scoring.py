@@ -48,6 +48,15 @@ def normalize(value: Column, policy: Policy) -> Column:
     return F.coalesce(out, F.lit(0.0)) if policy.missing_as_worst else out
 
 
+def exact_sum(value: Column, digits: int = 9) -> Column:
+    """The sum of values rounded to ``digits``, the same in whatever order the rows come, so that equal rows sum to equal numbers.
+
+    Groups with a value that such decimals (of 38 digits in all) do not hold, as NaN, are summed as doubles.
+    """
+    exact = value.try_cast(f"decimal(38, {digits})")
+    return F.when(F.count(value) == F.count(exact), F.try_sum(exact).cast("double")).otherwise(F.sum(value))
+
+
 def was_clamped(value: Column, policy: Policy) -> Column:
     v = value.cast("double")
     return F.coalesce(F.lit(policy.clamp) & ((v < policy.lower) | (v > policy.upper)), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.ranges import competition_rank
-from gridloom.operators.scoring import Policy, composite, metric_ranks, sensitivity, unpivot
+from gridloom.operators.scoring import Policy, composite, exact_sum, metric_ranks, sensitivity, unpivot
 from gridloom.plans.catalog import query, table
 
 POLICIES = [
@@ -28,7 +28,7 @@ norm AS (
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_suppkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount")
+        exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), exact_sum(F.col("l_quantity")).alias("quantity"), F.avg("l_discount").alias("discount")
     )
 
 
