@@ -134,6 +134,16 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return both.select("left_id", "right_id")
 
 
+def shaped(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, geom)`` of the different geometries of ``polygons (id, geom)``, by the smallest id of each, and ``(shape, id)``: which rows have them.
+
+    What is found of a geometry holds for all its rows, so overlays of copies are done once and joined to the rows.
+    """
+    shapes = materialize(polygons.groupBy("geom").agg(F.min("id").alias("id")).select("id", "geom"), "overlay-shapes")
+    rows = polygons.select("id", "geom").join(shapes.select(F.col("id").alias("shape"), "geom"), "geom").select("shape", "id")
+    return shapes, materialize(rows, "overlay-rows")
+
+
 def paired(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both multipolygons of each of ``pairs`` as the layers of one group, for ``labelled``."""
     side = lambda df, n, layer: pairs.join(df.select(F.col("id").alias(f"{n}_id"), F.col("id").alias("polygon"), "geom"), f"{n}_id").select("left_id", "right_id", F.lit(layer).alias("layer"), "polygon", "geom")
