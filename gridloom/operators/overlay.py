@@ -74,9 +74,10 @@ def labelled(polygons: DataFrame, group: list[str], cell: float, digits: int = 9
     """``(group, x1, y1, x2, y2, a_left, a_right, b_left, b_right)``, stored: pieces of all sides and whether layers ``a`` and ``b`` hold on each side.
 
     ``polygons``: (group, layer, polygon, geom), told apart by (layer, polygon). A layer holds wherever one of its polygons is.
-    Cells of side ``cell`` should be about as large as a side is long.
+    Equal geometries of a layer count once. Cells of side ``cell`` should be about as large as a side is long.
     """
-    edges = materialize(sides(polygons, digits).withColumn("edge", F.monotonically_increasing_id()), "overlay-edges")
+    once = polygons.groupBy(*group, "layer", "geom").agg(F.min("polygon").alias("polygon"))
+    edges = materialize(sides(once, digits).withColumn("edge", F.monotonically_increasing_id()), "overlay-edges")
     cut = materialize(pieces(edges, group, cell, digits), "overlay-pieces")
     flip = F.struct("x2", "y2") < F.struct("x1", "y1")
     ends = [F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ENDS, [*ENDS[2:], *ENDS[:2]], strict=True)]
