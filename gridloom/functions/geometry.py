@@ -39,6 +39,14 @@ def compactness(r: Column) -> Column:
     return F.when(found > 1, 1.0).otherwise(found)
 
 
+def is_box(r: Column) -> Column:
+    """Whether the ring is a rectangle along the axes, its four corners in either direction."""
+    def along(first: str, second: str) -> Column:
+        return (r[0][first] == r[1][first]) & (r[1][second] == r[2][second]) & (r[2][first] == r[3][first]) & (r[3][second] == r[0][second])
+
+    return F.when(F.size(r) == 4, F.coalesce(along("x", "y") | along("y", "x"), F.lit(False))).otherwise(False)
+
+
 def _on_side(x: Column, y: Column):
     def on_side(px, py, qx, qy):
         flat = (qx - px) * (y - py) == (qy - py) * (x - px)

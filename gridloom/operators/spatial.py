@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import area, clipped, covers
+from gridloom.functions.geometry import area, clipped, covers, is_box
 from gridloom.operators.tables import discard, materialize
 
+#: Left rows of a cell that one task compares with all right ones of it.
+CROWDED = 2048
+
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """``(left_id, right_id, distance)`` of points ``(id, x, y)`` at most ``radius`` apart.
@@ -50,6 +55,15 @@ def first_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFr
     return inside.groupBy("id").agg(F.min("polygon").alias("polygon"))
 
 
+def spacing(points: DataFrame) -> float:
+    """The side of a square that holds one of ``points (x, y)`` on average over their box: a radius to begin a search with."""
+    ends = [f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]
+    known = points.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xy"))
+    r = known.agg(F.count("*").alias("n"), *ends).first()
+    wide = max(r["high_x"] - r["low_x"], r["high_y"] - r["low_y"]) if r["n"] else 0.0
+    return math.sqrt((r["high_x"] - r["low_x"]) * (r["high_y"] - r["low_y"]) / r["n"]) or wide / r["n"] or 1.0 if wide else 1.0
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """``(left_id, right_id, distance)``: the nearest right point at any distance; ties go to the smallest id.
 
@@ -75,24 +89,38 @@ def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """``(left_id, right_id, overlap, share)`` of convex rings ``(id, ring)`` that share an area; ``share`` is of the left one.
 
     Boxes go to the cells of side ``cell`` that they touch, which should be few, and a pair is kept in the smallest cell that both
-    touch. Only pairs whose boxes share an area meet with their rings and are clipped. Right rings go counter-clockwise.
-    For concave rings and holes see ``overlay``.
+    touch. Crowded cells are dealt to several tasks. Rings that are boxes need no more than their corners; of others, pairs whose boxes share
+    an area meet with their rings and are clipped. Right rings go counter-clockwise. For concave rings and holes see ``overlay``.
     """
     bound = lambda pick, k: pick(F.transform("ring", lambda p: p[k]))
     index = lambda c: F.floor(c / cell)
 
     def dealt(df: DataFrame, n: str) -> DataFrame:
         box = [bound(pick, k).alias(f"{n}_{k}{i}") for i, pick in ((0, F.array_min), (1, F.array_max)) for k in "xy"]
-        rows = df.filter(F.size("ring") > 2).select(F.col("id").alias(f"{n}_id"), *box)
+        rows = df.filter(F.size("ring") > 2).select(F.col("id").alias(f"{n}_id"), *box, is_box(F.col("ring")).alias(f"{n}_flat"))
         span = lambda k: F.explode(F.sequence(index(F.col(f"{n}_{k}0")), index(F.col(f"{n}_{k}1"))))
         return rows.select("*", span("x").alias("cx")).select("*", span("y").alias("cy"))
 
-    both = dealt(left, "left").join(dealt(right, "right"), ["cx", "cy"])
-    for k in "xy":
-        both = both.filter((F.col(f"left_{k}0") < F.col(f"right_{k}1")) & (F.col(f"right_{k}0") < F.col(f"left_{k}1")) & (F.col(f"c{k}") == index(F.greatest(f"left_{k}0", f"right_{k}0"))))
-    both = both.select("left_id", "right_id").join(left.select(F.col("id").alias("left_id"), F.col("ring").alias("left_ring")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("ring").alias("right_ring")), "right_id")
-    rows = both.select("left_id", "right_id", area(clipped(F.col("left_ring"), F.col("right_ring"))).alias("overlap"), area(F.col("left_ring")).alias("whole")).filter("overlap > 0")
-    return rows.select("left_id", "right_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
+    a, b = materialize(dealt(left, "left"), "overlap-left"), materialize(dealt(right, "right"), "overlap-right")
+    parts = a.groupBy("cx", "cy").agg((F.floor(F.count("*") / CROWDED) + 1).cast("int").alias("parts"))
+    cells, tasks = ["cx", "cy", "part"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a = a.join(parts, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("left_id"), "parts").cast("int")).drop("parts")
+        b = b.join(parts, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        both = a.repartition(tasks, *cells).join(b.repartition(tasks, *cells), cells)
+        for k in "xy":
+            both = both.filter((F.col(f"left_{k}0") < F.col(f"right_{k}1")) & (F.col(f"right_{k}0") < F.col(f"left_{k}1")) & (F.col(f"c{k}") == index(F.greatest(f"left_{k}0", f"right_{k}0"))))
+        return both
+
+    shared = lambda k: F.least(f"left_{k}1", f"right_{k}1") - F.greatest(f"left_{k}0", f"right_{k}0")
+    whole = (F.col("left_x1") - F.col("left_x0")) * (F.col("left_y1") - F.col("left_y0"))
+    rows = met(a.filter("left_flat"), b.filter("right_flat")).select("left_id", "right_id", (shared("x") * shared("y")).alias("overlap"), whole.alias("whole"))
+    if not (a.filter("not left_flat").isEmpty() and b.filter("not right_flat").isEmpty()):
+        pairs = [met(x, y).select("left_id", "right_id") for x, y in ((a.filter("not left_flat"), b), (a.filter("left_flat"), b.filter("not right_flat")))]
+        both = pairs[0].unionByName(pairs[1]).join(left.select(F.col("id").alias("left_id"), F.col("ring").alias("left_ring")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("ring").alias("right_ring")), "right_id")
+        rows = rows.unionByName(both.select("left_id", "right_id", area(clipped(F.col("left_ring"), F.col("right_ring"))).alias("overlap"), area(F.col("left_ring")).alias("whole")))
+    return rows.filter("overlap > 0").select("left_id", "right_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
 
 
 def association(overlap: DataFrame, tolerance: float) -> DataFrame:
