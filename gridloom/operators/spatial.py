@@ -129,5 +129,6 @@ def association(overlap: DataFrame, tolerance: float) -> DataFrame:
     Otherwise ``mixed``, with the ring of the largest share (ties: the smallest id).
     """
     best = F.max(F.struct("share", (-F.col("right_id")).alias("order"), "right_id"))
-    rows = overlap.filter(F.col("share") > tolerance).groupBy("left_id").agg(best.alias("best"), F.count("*").alias("n"))
-    return rows.select("left_id", "best.right_id", F.when((F.col("n") == 1) & (F.col("best.share") >= 1 - tolerance), "full").otherwise("mixed").alias("kind"))
+    # The share has a maximum of its own, so where only the kind is read, rows are counted and not sorted.
+    rows = overlap.filter(F.col("share") > tolerance).groupBy("left_id").agg(best.alias("best"), F.max("share").alias("share"), F.count("*").alias("n"))
+    return rows.select("left_id", "best.right_id", F.when((F.col("n") == 1) & (F.col("share") >= 1 - tolerance), "full").otherwise("mixed").alias("kind"))
