@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.spatial import spacing
+from gridloom.operators.tables import discard, materialize
+
 
 def point_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """From a point to the nearest point of a segment."""
@@ -17,7 +22,12 @@ def point_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2:
 def _cells(segments: DataFrame, cell: float, margin: float) -> DataFrame:
     """``segments`` once for each cell of side ``cell`` that their box, widened by ``margin``, touches; boxes should touch few."""
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - margin) / cell), F.floor((F.greatest(a, b) + margin) / cell)))
-    return segments.dropna(subset=["x1", "y1", "x2", "y2"]).select("*", span("x1", "x2").alias("cx")).select("*", span("y1", "y2").alias("cy"))
+    dealt = segments.dropna(subset=["x1", "y1", "x2", "y2"]).select("*", span("x1", "x2").alias("cx")).select("*", span("y1", "y2").alias("cy"))
+    if margin == 0:
+        return dealt
+    # Of the cells of its box, a slanted segment only passes those that are near it.
+    middle = [(F.col(c) + 0.5) * cell for c in ("cx", "cy")]
+    return dealt.filter(point_distance(*middle, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]) <= (margin + cell * 0.75))
 
 
 def within(points: DataFrame, segments: DataFrame, radius: float, cell: float) -> DataFrame:
@@ -29,9 +39,25 @@ def within(points: DataFrame, segments: DataFrame, radius: float, cell: float) -
 
 
 def nearest(points: DataFrame, segments: DataFrame, radius: float, cell: float) -> DataFrame:
-    """``(point, line, distance)``: each point's nearest segment within ``radius``; ties go to the smallest id."""
-    best = within(points, segments, radius, cell).groupBy("point").agg(F.min(F.struct("distance", "line")).alias("best"))
-    return best.select("point", "best.line", "best.distance")
+    """``(point, line, distance)``: each point's nearest segment within ``radius``; ties go to the smallest id.
+
+    Where segments are dense, a search begins with a small part of ``radius`` and cells four times as wide, so that a segment is in few;
+    points that found none look again twice as far. So a point meets few segments whatever lies within ``radius``.
+    """
+    steps = max(0, min(12, math.ceil(math.log2(radius / spacing(segments.select(F.col("x1").alias("x"), F.col("y1").alias("y")))))))
+    found, pending = None, points.select("id", "x", "y") if steps == 0 else materialize(points.select("id", "x", "y"), "nearest-points")
+    for i in range(steps, -1, -1):
+        part = 0.5**i
+        best = within(pending, segments, radius * part, min(cell, 4 * cell * part)).groupBy("point").agg(F.min(F.struct("distance", "line")).alias("best"))
+        best = best.select("point", "best.line", "best.distance")
+        best = materialize(best, "nearest-lines") if i else best
+        found = best if found is None else found.unionByName(best)
+        if i:
+            before, pending = pending, materialize(pending.join(best, pending["id"].eqNullSafe(best["point"]), "left_anti"), "nearest-points")
+            discard(before)
+            if pending.isEmpty():
+                break
+    return found
 
 
 def crossings(segments: DataFrame, cell: float) -> DataFrame:
