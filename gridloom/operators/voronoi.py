@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import _sides, area, box
+from gridloom.operators.spatial import nearest, spacing
 from gridloom.operators.tables import discard, materialize
 
 
@@ -63,6 +64,15 @@ def cells(seeds: DataFrame, x0: float, y0: float, x1: float, y1: float, cell: fl
     return done.withColumn("area", area(F.col("ring")))
 
 
+def members(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(id, seed)``: the cell that each of ``points (id, x, y)`` lies in, which is that of its nearest of ``seeds (seed, x, y)``; ties go to the smallest.
+
+    The search begins with the seeds' mean spacing, so no cells are built and a point meets the seeds around it only.
+    """
+    right = materialize(seeds.select(F.col("seed").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "member-seeds")
+    return nearest(points, right, spacing(right)).select(F.col("left_id").alias("id"), F.col("right_id").alias("seed"))
+
+
 def assign_classes(parts: DataFrame, shares: dict[str, float], group: str = "run") -> DataFrame:
     """``parts (group, cell, seed, area, score)`` with ``zone_class``: cells go by falling score (then seed) to the class whose target area lacks most.
 

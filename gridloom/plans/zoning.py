@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import spatial, voronoi
+from gridloom.operators import voronoi
 from gridloom.plans.catalog import query, table
 
 SHARES = {"residential": 0.5, "mixed": 0.2, "green": 0.3}
@@ -26,8 +26,8 @@ WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE
 d AS (SELECT a.id, s.id AS seed, (a.x - s.x) ** 2 + (a.y - s.y) ** 2 AS d FROM p a JOIN p s ON s.label = 0)
 SELECT id, arg_min(seed, d) AS seed FROM d GROUP BY id""")
 def voronoi_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir).select(F.col("seed").alias("polygon"), "ring")
-    return spatial.first_polygon(_points(spark, sf_dir), cells, 0.25).select("id", F.col("polygon").alias("seed"))
+    points = _points(spark, sf_dir)
+    return voronoi.members(points, points.filter("label = 0").select(F.col("id").alias("seed"), "x", "y"))
 
 
 @query("voronoi_coverage", """
