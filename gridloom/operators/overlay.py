@@ -56,10 +56,13 @@ def pieces(edges: DataFrame, group: list[str], cell: float, digits: int = 9) ->
     qx, qy = rest("x1") - pick("x1"), rest("y1") - pick("y1")
     cross = rx * sy - ry * sx
     t, u = F.try_divide(qx * sy - qy * sx, cross), F.try_divide(qx * ry - qy * rx, cross)
-    point = lambda x, y: F.struct(F.round(x, digits).alias("x"), F.round(y, digits).alias("y"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     meet = F.when(t.between(0, 1) & u.between(0, 1), F.array(point(pick("x1") + t * rx, pick("y1") + t * ry)))
     along = F.when((cross == 0) & (qx * ry == qy * rx), F.array(point(c("ox1"), c("oy1")), point(c("ox2"), c("oy2"))))
     cuts = met.select(*group, "edge", *ENDS, F.explode(F.coalesce(meet, along)).alias("p"))
+    # Most meet at an end, which cuts nothing; only the others are rounded, which is dear.
+    cuts = cuts.filter(" and ".join(f"not (p.x = x{i} and p.y = y{i})" for i in (1, 2)))
+    cuts = cuts.withColumn("p", point(F.round("p.x", digits), F.round("p.y", digits)))
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     at = ((c("p.x") - c("x1")) * dx + (c("p.y") - c("y1")) * dy) / (dx * dx + dy * dy)
     cuts = cuts.withColumn("t", at).filter("t > 0 and t < 1").groupBy("edge").agg(F.array_sort(F.collect_set(F.struct("t", "p.x", "p.y"))).alias("cuts"))
